@@ -21,6 +21,34 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), capacity=1024, end_id=2)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), folds=5)
+
+
+#: Shares of all tokens for documents of quality 0 and 1.
+QUALITY_TARGETS = [0.1, 0.9]
+
+
+def quality_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, label: the labelled table's quality is the domain that mixing works on."""
+    labels = common.table(spark, sf_dir, "labels")
+    return labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("label"))
+
+
+def op7_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import rates
+
+    return rates(common.table(spark, sf_dir, "documents"), quality_domains(spark, sf_dir), QUALITY_TARGETS)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -34,5 +62,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op8_token_counts, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op6_toxicity, op7_mixing_to_targets, op8_token_counts, op9_token_files)}
 ORACLES: dict[str, str] = {}

@@ -4,22 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries
+from . import common, queries
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents with a toxicity score of 0.5 or more go."""
+    from .toxicity import clean
+
+    return clean(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The least document of each group of SimHash near-duplicates stays."""
+    from .simhash import first_of_each_group
+
+    return first_of_each_group(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents are repeated or dropped at the rates that bring the quality domains to their target shares of tokens."""
+    from .mixing import mixed
+
+    return mixed(docs, queries.quality_domains(spark, sf_dir), queries.QUALITY_TARGETS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 1024 tokens."""
     from .packing import pack
 
     return pack(docs, queries.tokenizer_path(queries.BYTE_BPE), capacity=1024, end_id=2)
