@@ -27,6 +27,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprints_with_edits
+
+    return fingerprints_with_edits(common.table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -62,5 +68,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op6_toxicity, op7_mixing_to_targets, op8_token_counts, op9_token_files)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    files = warc.write(common.table(spark, sf_dir, "pages"), common.scratch(spark, "warc"), smallest=0)
+    return warc.page_records(warc.read(spark, files))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op5_merkle_fingerprints, op6_toxicity, op7_mixing_to_targets, op8_token_counts, op9_token_files, op10_warc)}
 ORACLES: dict[str, str] = {}
