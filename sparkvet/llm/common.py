@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkvet.session import ensure_importable
+
 LONG_MIN = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,6 +33,12 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(common.table(spark, sf_dir, "documents"), folds=7, held=2)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_graph import near_duplicates
+
+    return near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import fingerprints_with_edits
 
@@ -81,5 +87,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read(spark, files))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_lm_scoring, op5_merkle_fingerprints, op6_toxicity, op7_mixing_to_targets, op8_token_counts, op9_token_files, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_lm_scoring, op4_embedding_near_dedup, op5_merkle_fingerprints, op6_toxicity, op7_mixing_to_targets, op8_token_counts, op9_token_files, op10_warc)}
 ORACLES: dict[str, str] = {}

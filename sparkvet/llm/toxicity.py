@@ -38,7 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, classes: int, per_class:
     return [bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.int64), shares / max(1, shares.sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1500, longest: int = 16384) -> subword.Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1000, longest: int = 16384) -> subword.Model:
     """Learns `toxic` of labels (doc_id, toxic) from the rows whose remainder is not 0."""
     learned = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label")).where(remainder(F.col("doc_id"), folds) != 0)
     texts, y, shares = labelled_sample(docs, learned, 2, per_class, longest)
