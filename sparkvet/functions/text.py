@@ -14,6 +14,8 @@ BIDI = r"\x{202A}-\x{202E}\x{2066}-\x{2069}"
 #: Tags whose content reads as an instruction to a model.
 DIRECTIVE_TAGS = "important|system|instructions?|secret|hidden|admin|assistant|override|directive|note_to_(?:ai|llm|model)"
 
+#: Anything inside a sentence: a period followed by a letter or sign does not end one.
+WITHIN = r"(?:[^.!?\n]|\.(?=\S))"
 NEGATION = r"(?:do\s+not|don['’]t|never|must\s+not|without|ne\s+(?:jamais|pas)?|n['’])"
 INFORM = r"(?:tell|inform|mention|notify|reveal|disclose|show|alert|warn|say|dire|dis|dites|informe[rz]?|mentionne[rz]?|r[ée]v[ée]le[rz]?|montre[rz]?|pr[ée]ven(?:ir|ez))"
 AUDIENCE = r"(?:users?|humans?|anyone|anybody|people|person|customers?|utilisat(?:eur|rice)s?|personne|humains?|clients?)"
@@ -67,7 +69,7 @@ def urls(text: Column, longest: int = 300) -> Column:
     """Web addresses with a host, without trailing punctuation, cut to `longest`."""
     found = F.regexp_extract_all(text, F.lit(r"https?://[A-Za-z0-9.-]+[^\s\"'<>`]*"), 0)
     tidy = F.transform(found, lambda u: F.substring(F.regexp_replace(u, r"[.,;:!?)\]}]+\z", ""), 1, longest))
-    return F.filter(tidy, lambda u: F.regexp_extract(u, r"^https?://([A-Za-z0-9.-]+)", 1).rlike(r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\z"))
+    return F.filter(tidy, lambda u: F.regexp_extract(u, r"^https?://([^/:?#]+)", 1).rlike(r"^[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\z"))
 
 
 def fixed_host(template: Column) -> Column:
@@ -124,21 +126,21 @@ def is_minified(path: Column, text: Column) -> Column:
 
 def silence_request(text: Column) -> Column:
     """The first piece of text that forbids to inform somebody; empty without one."""
-    return F.regexp_extract(text, rf"(?iuU)\b{NEGATION}\s*\b{INFORM}\b[^.!?\n]{{0,100}}?\b{AUDIENCE}\b", 0)
+    return F.regexp_extract(text, rf"(?iuU)\b{NEGATION}\s*\b{INFORM}\b{WITHIN}{{0,100}}?\b{AUDIENCE}\b", 0)
 
 
 def silenced_sensitive_action(text: Column) -> Column:
     """A sentence that asks for silence also names a sensitive action, or refers back to a sentence before that does."""
-    request = rf"\b{NEGATION}\s*\b{INFORM}\b[^.!?\n]{{0,100}}?\b{AUDIENCE}\b"
-    same = rf"\b{SENSITIVE_ACTION}\b[^.!?\n]*{request}|{request}[^.!?\n]*\b{SENSITIVE_ACTION}\b"
-    before = rf"\b{SENSITIVE_ACTION}\b[^.!?\n]*[.!?]\s+[^.!?\n]*{request}[^.!?\n]*\b(?:this|that|it|cela|[çc]a|ceci)\b"
+    request = rf"\b{NEGATION}\s*\b{INFORM}\b{WITHIN}{{0,100}}?\b{AUDIENCE}\b"
+    same = rf"\b{SENSITIVE_ACTION}\b{WITHIN}*{request}|{request}{WITHIN}*\b{SENSITIVE_ACTION}\b"
+    before = rf"\b{SENSITIVE_ACTION}\b{WITHIN}*[.!?]\s+{WITHIN}*{request}{WITHIN}*\b(?:this|that|it|cela|[çc]a|ceci)\b"
     return text.rlike(rf"(?iuU){same}|{before}")
 
 
 def transmit_request(text: Column, parameters: Column) -> Column:
     """The first sentence with a content word, a verb of passing on, and a destination or a parameter's name (over two letters)."""
     named = lambda s: F.exists(F.coalesce(parameters, F.array().cast("array<string>")), lambda p: (F.length(p) > 2) & F.contains(F.lower(s), F.lower(p)))
-    hit = F.filter(F.split(text, r"[.!?\n]+"), lambda s: s.rlike(rf"(?iuU)\b{CONTENT}\b") & s.rlike(rf"(?iuU)\b{TRANSMIT}\b") & (s.rlike(rf"(?iuU)\b{DESTINATION}\b") | named(s)))
+    hit = F.filter(F.split(text, r"[!?\n]+|\.(?=\s|\z)"), lambda s: s.rlike(rf"(?iuU)\b{CONTENT}\b") & s.rlike(rf"(?iuU)\b{TRANSMIT}\b") & (s.rlike(rf"(?iuU)\b{DESTINATION}\b") | named(s)))
     return F.when(F.size(hit) > 0, F.trim(F.element_at(hit, 1)))
 
 
@@ -150,14 +152,17 @@ def directive_blocks(text: Column) -> Column:
 def analyzer_talk(text: Column) -> Column:
     """Text that speaks to a scanner or reviewer about the result it should come to."""
     direct = r"\b(?:this\s+(?:tool|server|package|code)\s+is\s+(?:completely\s+|perfectly\s+)?safe|mark\s+(?:this|it)\s+as\s+(?:safe|benign|trusted)|ignore\s+(?:this\s+file|all\s+(?:previous\s+)?(?:findings|warnings|alerts)))\b"
-    dismissal = r"\b(?:scanners?|analy[sz]ers?|auditors?|linters?|security\s+tools?)\b[^.!?\n]*\b(?:false\s+positives?|can\s+be\s+ignored|should\s+(?:skip|ignore))\b"
+    dismissal = rf"\b(?:scanners?|analy[sz]ers?|auditors?|linters?|security\s+tools?)\b{WITHIN}*\b(?:false\s+positives?|can\s+be\s+ignored|should\s+(?:skip|ignore))\b"
     return F.regexp_extract(text, rf"(?iuU){direct}|{dismissal}", 0)
 
 
 def sensitive_paths(text: Column) -> Column:
     """array<struct<category, kind, match>>, distinct, in the order of the table."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), 0), lambda m, c=c, k=k: F.struct(F.lit(c).alias("category"), F.lit(k).alias("kind"), m.alias("match"))) for c, k, p in SENSITIVE_PATHS]
-    return F.array_distinct(F.concat(*found))
+
+    def found(category: str, kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.struct(F.lit(category).alias("category"), F.lit(kind).alias("kind"), m.alias("match")))
+
+    return F.array_distinct(F.concat(*[found(*row) for row in SENSITIVE_PATHS]))
 
 
 def client_name(match: Column) -> Column:

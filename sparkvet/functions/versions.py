@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Bound = tuple[str, tuple[int, ...]]
 
@@ -94,7 +95,7 @@ def pypi_excludes(declared: str, version: str) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def range_excludes(ecosystem: pd.Series, declared: pd.Series, version: pd.Series) -> pd.Series:
     """Whether a declared range rules a version out; a null range never does."""
     rules = {"npm": npm_excludes, "pypi": pypi_excludes}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkvet.plans import driver_queries
+from sparkvet.plans import driver_queries, packages
 
-QUERIES = dict(driver_queries.QUERIES)
+QUERIES = driver_queries.QUERIES | packages.QUERIES
 ORACLES = dict(driver_queries.ORACLES)
