@@ -33,8 +33,8 @@ from . import common
 from .toxicity import remainder
 
 END = xxhash.xxh64_intdigest(b"")
-CHUNK = 1 << 20  # tokens that are handled together
-HELD = 1 << 22  # different keys that a task holds before it passes them on
+CHUNK = 1 << 18  # tokens that are handled together
+HELD = 1 << 21  # different keys that a task holds before it passes them on
 LOW = np.uint64(0xFFFFFFFF)
 
 
