@@ -35,6 +35,7 @@ from .toxicity import remainder
 END = xxhash.xxh64_intdigest(b"")
 CHUNK = 1 << 18  # tokens that are handled together
 HELD = 1 << 21  # different keys that a task holds before it passes them on
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -101,11 +102,11 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending keys as differences and counts, byte plane by byte plane, compressed."""
     planes = [np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, counts.astype("<u8").view(np.uint8).reshape(-1, 8).T]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes))
+    return PACK.compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes))
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, 8, -1)
+    raw = np.frombuffer(UNPACK.decompress(data), np.uint8).reshape(2, 8, -1)
     keys, counts = (np.ascontiguousarray(p.T).reshape(-1).view("<u8") for p in raw)
     return np.cumsum(keys, dtype=np.uint64), counts.astype(np.int64)
 
