@@ -1,4 +1,4 @@
-"""Facts of Python source files, read without running them: functions, calls, tools, findings, strings, unread files.
+"""Facts of Python source files, read without running them: functions, calls, tools, findings, flows, strings, unread files.
 
 One row a fact: pkg, path, fact, name, detail, start, end, line, extra (map). Files are independent, so this is a map over rows; what
 relates files is left to joins. A file that doesn't parse gives one parse_error.
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvet.functions import paths
+from sparkvet.session import ensure_importable
+from sparkvet.sources import python_flow
 
 FACT = "pkg string, path string, fact string, name string, detail string, start long, end long, line int, extra map<string,string>"
 
@@ -189,6 +191,14 @@ def facts_of(pkg: str, path: str, source: bytes) -> list[tuple]:
     except (SyntaxError, ValueError, RecursionError) as e:
         return [(pkg, path, "parse_error", type(e).__name__, str(e)[:200], 0, len(source), getattr(e, "lineno", None) or 0, {})]
     reader.visit(tree)
+    tools = [(r[3], r[8]["function"]) for r in reader.rows if r[2] == "tool"]
+    try:
+        found = python_flow.flows(reader, tree, tools)
+    except RecursionError:
+        found = []
+    for tool, h in found:
+        extra = {"tool": tool, "kind": h.label.kind, "pasted": str(h.label.pasted).lower(), "role": h.role, "path_kinds": ",".join(h.path_kinds), "steps": str(h.steps)}
+        reader.rows.append((pkg, path, "flow", h.sink, h.label.source, h.offset, h.offset, h.line, {k: v for k, v in extra.items() if v}))
     return reader.rows
 
 
@@ -197,6 +207,8 @@ def extract(files: DataFrame, largest: int = 5_000_000) -> DataFrame:
     kept = files.where(F.endswith("path", F.lit(".py")) & ~paths.is_ignored(F.col("path")))
     big = kept.where(F.octet_length("content") > largest).select("pkg", "path", F.lit("skipped").alias("fact"), F.lit("size").alias("name"), F.lit(None).cast("string").alias("detail"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("end"), F.lit(0).alias("line"), F.create_map().cast("map<string,string>").alias("extra"))
 
+    ensure_importable(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FACT.split(", ")]
         for pdf in batches:
