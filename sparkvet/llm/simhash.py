@@ -29,21 +29,32 @@ SEED = 42
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: bytes) -> int:
-    """64-bit SimHash of 3-word shingles, repeats included; A-Z lower-cased, words cut at ASCII white space."""
+def digests(text: bytes, width: int = 3) -> np.ndarray:
+    """Eight hash bytes a row for each shingle of `width` words, repeats included; A-Z lower-cased, words cut at ASCII white space. Fewer words are one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) < 3:
+        return np.empty((0, 8), np.uint8)
+    if len(words) < width:
         shingles = [b" ".join(words)]
     else:
         joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-3] + 1)).tolist()
-        shingles = [joined[a:b] for a, b in zip(starts, ends[2:].tolist(), strict=True)]
-    digests = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint8).reshape(-1, 8)
-    set_bits = np.concatenate([np.bincount(digests[:, i], minlength=256) @ BITS for i in range(8)])
-    return int.from_bytes(np.packbits(2 * set_bits > len(shingles)).tobytes(), "big", signed=True)
+        starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
+        shingles = [joined[a:b] for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint8).reshape(-1, 8)
+
+
+def simhash(found: np.ndarray) -> int:
+    """64-bit SimHash of the digests of a text, signed; 0 without any."""
+    if not len(found):
+        return 0
+    set_bits = np.concatenate([np.bincount(found[:, i], minlength=256) @ BITS for i in range(8)])
+    return int.from_bytes(np.packbits(2 * set_bits > len(found)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: bytes) -> int:
+    """SimHash of 3-word shingles."""
+    return simhash(digests(text))
 
 
 def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -129,7 +140,12 @@ def first_of_each_group(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("__th"))
     found = common.materialize(fingerprints(rows, ["doc_id", "__th"]), "fingerprints")
     named = component_of_fingerprints(found)
-    least = found.groupBy("__fp").agg(F.min(F.struct(common.id_order(F.col("doc_id")).alias("id"), "__th")).alias("least"))
-    kept = named.join(least, "__fp").groupBy("component_root").agg(F.min("least").alias("least")).select("least.*").withColumnRenamed("id", "__id")
+    return first_rows(docs, found, "__fp", named.select("__fp", "component_root"))
+
+
+def first_rows(docs: DataFrame, found: DataFrame, key: str, named: DataFrame) -> DataFrame:
+    """The first row of docs by (doc_id, hash of the text) of each component_root. found: doc_id, __th, key; named: key, component_root."""
+    least = found.groupBy(key).agg(F.min(F.struct(common.id_order(F.col("doc_id")).alias("id"), "__th")).alias("least"))
+    kept = named.join(least, key).groupBy("component_root").agg(F.min("least").alias("least")).select("least.*").withColumnRenamed("id", "__id")
     keyed = docs.select(F.struct("*").alias("__row"), common.id_order(docs["doc_id"]).alias("__id"), F.xxhash64(docs["text"]).alias("__th"))
     return keyed.join(kept.distinct(), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).select("__row.*")

@@ -15,10 +15,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of SimHash near-duplicates stays."""
-    from .simhash import first_of_each_group
+    """The least document of each group stays; a group is linked by pairs whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    from .similar import first_of_similar
 
-    return first_of_each_group(docs)
+    return first_of_similar(docs, words=5, similarity=0.8)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
