@@ -210,6 +210,16 @@ def innermost_region(spark, table):
     return joins.innermost(at, spans, ["f"], "place", "a", "b", "span", 512).select("l_orderkey", "l_linenumber", "place", "f", "span")
 
 
+@query()
+def innermost_region_whole(spark, table):
+    """innermost_region over the spans of all parts; no SQL. Lines that share place and f share their span, so each place is looked up once."""
+    at = table("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 100 + F.col("l_linenumber")).alias("place"), (F.col("l_suppkey") % 10).alias("f")).distinct()
+    a = F.col("p_size") * 97 % 4000
+    spans = table("part").select(F.col("p_partkey").alias("span"), (F.col("p_partkey") % 10).alias("f"), a.cast("long").alias("a"), (a + 50 + F.col("p_partkey") % 900).alias("b"))
+    found = joins.innermost(at.select("place", "f").distinct(), spans, ["f"], "place", "a", "b", "span", 512).select("place", "f", "span")
+    return at.join(found, ["place", "f"]).select("l_orderkey", "l_linenumber", "place", "f", "span")
+
+
 GLOBS = [("red widget", "exact"), ("red *", "red"), ("* bolt", "bolt"), ("s?all*", "small"), ("*e*", "any_e")]
 GLOB_SQL = " UNION ALL ".join(f"SELECT {i} AS ord, '{g.replace('*', '%').replace('?', '_')}' AS pat, '{v}' AS val" for i, (g, v) in enumerate(GLOBS))
 
