@@ -283,6 +283,26 @@ def closure(spark, table):
     return graph.closure(edges.where("caller < 3").select(F.col("caller").alias("node")), edges)
 
 
+def _whole_edges(table):
+    """Calls of all lineitem rows between whole ids: supplier l_suppkey calls node 7 * l_suppkey + l_partkey."""
+    return table("lineitem").select(F.col("l_suppkey").alias("caller"), (F.col("l_suppkey") * 7 + F.col("l_partkey")).alias("callee")).distinct()
+
+
+@query()
+def bfs_depth5_whole(spark, table):
+    """bfs_depth5 from every caller over all edges; no SQL."""
+    edges = _whole_edges(table).withColumn("at", F.col("callee"))
+    roots = edges.select(F.col("caller").alias("root"), F.col("caller").alias("node")).distinct()
+    return graph.walk(roots, edges, 5).select("root", "node", "depth")
+
+
+@query()
+def closure_whole(spark, table):
+    """closure over all edges from the suppliers with a negative balance; no SQL."""
+    owing = table("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
+    return graph.closure(owing, _whole_edges(table))
+
+
 @query("SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS blocks FROM pages")
 def directive_blocks(spark, table):
     return table("pages").select("page_id", F.regexp_extract_all("html", F.lit("(?s)<!--(.*?)-->"), 1).alias("blocks"))

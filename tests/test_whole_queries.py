@@ -13,3 +13,26 @@ def test_innermost_region_whole(spark):
     want = sorted((*x, best[x[2:]][1]) for x in lines if best[x[2:]])
     assert max(x[4] for x in want) >= 200
     assert sorted(tuple(r) for r in driver_queries.QUERIES["innermost_region_whole"](spark, SF).collect()) == want
+
+
+def test_whole_graph(spark):
+    sf = "/root/testdata/sf0.001"
+    calls = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        calls.setdefault(r["l_suppkey"], set()).add(r["l_suppkey"] * 7 + r["l_partkey"])
+
+    def reached(starts, most):
+        depth, queue = dict.fromkeys(starts, 0), list(starts)
+        for n in queue:
+            for m in calls.get(n, ()) if depth[n] < most else ():
+                if m not in depth:
+                    depth[m] = depth[n] + 1
+                    queue.append(m)
+        return depth
+
+    want = sorted((c, n, d) for c in calls for n, d in reached([c], 5).items())
+    assert max(c for c, _, _ in want) >= 9 and max(d for _, _, d in want) > 1
+    assert sorted(tuple(r) for r in driver_queries.QUERIES["bfs_depth5_whole"](spark, sf).collect()) == want
+    owing = [r["s_suppkey"] for r in spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal < 0").collect()]
+    got = sorted(r["node"] for r in driver_queries.QUERIES["closure_whole"](spark, sf).collect())
+    assert got == sorted(reached(owing, 1 << 30))
