@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        if not spark.sparkContext.master.startswith("local") and (base.startswith("file:") or "://" not in base):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -64,26 +66,40 @@ def id_order(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(LONG_MIN))
 
 
-def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
-    """At most n - 1 ascending cut points that deal the column's values into ranges of about equal size. One value a range reaches the driver."""
+def text_ranges(docs: DataFrame, column: str = "text", each: int = 48 << 20) -> int:
+    """Into how many ranges to deal texts: as many as shuffle partitions, and one more for each `each` bytes of text beyond them."""
+    total = docs.agg(F.sum(F.octet_length(docs[column].cast("string")).cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // each))
+
+
+def range_bounds(df: DataFrame, column: str, n: int) -> list[tuple[int, int]]:
+    """At most n - 1 ascending cut points (value, hash) that deal rows into ranges of about equal number. column: long, without nulls.
+
+    A value that spans several cuts holds more rows than a range should; cuts at equal steps of the second number, a
+    hash, spread its rows. One value a range reaches the driver. Any cut points are right: they are never assumed to be even.
+    """
     if n < 2:
         return []
-    cuts = df.approxQuantile(column, [i / n for i in range(1, n)], 1 / (8 * n))
-    return sorted({int(x) for x in cuts})
+    found = df.approxQuantile(column, [i / n for i in range(1, n)], 1 / (8 * n))
+    cuts: dict[int, int] = {}
+    for x in found:
+        x = max(LONG_MIN, min(int(x), -LONG_MIN - 1))
+        cuts[x] = cuts.get(x, 0) + 1
+    return [(x, LONG_MIN + (j << 64) // k) for x, k in sorted(cuts.items()) for j in range(k)]
 
 
-def range_bucket(column: Column, bounds: list[int]) -> Column:
-    """Number of bounds that are <= the value."""
+def range_bucket(value: Column, hash_: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of bounds that are <= (value, hash), by binary search over an array of constants."""
     if not bounds:
         return F.lit(0)
-    # width_bucket needs equal widths, so a binary search is spelled out as nested conditions
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(bounds))
+    values, hashes = (F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<long>") for i in (0, 1))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def search(at: Column, step: Column) -> Column:
+        x, h = F.get(values, at + step - 1), F.get(hashes, at + step - 1)
+        return F.when((x < value) | ((x == value) & (h <= hash_)), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), search)
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, share: int = 256) -> list:

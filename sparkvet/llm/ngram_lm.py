@@ -1,18 +1,23 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted arrays, memory-mapped by workers.
+"""An interpolated modified Kneser-Ney trigram model, counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
 
 Words are known by their 64-bit hash. The vocabulary is the sorted array of the hashes of all training tokens, cut into ranges by
-the leading bits; a word's id is its place in it, so ids keep the order of the hashes. A bigram is the key
-id(previous) << 32 | id(word); the keys of a range of previous words are one sorted array, next to the counts, and next to
-the context's total and numbers of followers seen once, twice and more often. Every array is a file in the shared folder.
-Tasks sort and sum what they have before it is shuffled, and a range is merged by one task; ranges grow in number
-with the shuffle partitions. Nothing is pruned.
+the leading bits; a word's id is its place in it. A context (u, v) is known by a 64-bit hash of its two ids that can be undone, so
+no two contexts meet. Trigrams are dealt to ranges by the leading bits of that hash: a range file holds the sorted contexts, where the
+followers of each begin, the followers' ids in order and their counts. A second shuffle of the different (v, w) with the
+number of different u before them gives the middle order, a third one the numbers of v and w. Counts take one byte, and those of 255
+or more stand in a table of their own with 64 bits, so none wraps.
 
-Tokens: words between ASCII white space, A-Z lower-cased, and one end for each document; the first word follows a start mark.
-p(w|v) = max(c(vw) - D(c), 0) / c(v) + gamma(v) p(w), p(w) the same with the number of different words before w, and below it 1 / (V + 1) for
-each token and for unknown ones. A context without followers leaves p(w).
+Tasks sort and sum what they have before it is shuffled. Ranges are as many as the tokens ask for (`RANGE` each), whatever the
+shuffle partitions; contexts are spread by a hash, and pairs of a word that holds over 1/256 of all tokens by a hash of both words, so a range holds
+more only where one context has more different followers than that. Nothing is pruned.
+
+Tokens: words between ASCII white space, A-Z lower-cased, and one end for each document; the first words follow start marks.
+p(w|uv) = max(c(uvw) - D3, 0) / c(uv) + g(uv) p(w|v); p(w|v) the same with the number of different u before (v, w) (counts, where v is the start
+mark); p(w) with the number of different v before w; below it 1 / (V + 1) for each token and for unknown ones. A context
+without followers leaves the order below.
 
 Defined cases: null text counts as empty (the end alone); a null doc_id trains and is not held out; repeated rows count once each; an
-empty table, or one without training rows, gives scores from 1 / (V + 1); other columns are ignored.
+empty table, or one without training rows, gives scores from 1 / (V + 1); other columns are ignored. More than 2^32 - 2 different words raise.
 """
 
 from __future__ import annotations
@@ -35,8 +40,13 @@ from .toxicity import remainder
 END = xxhash.xxh64_intdigest(b"")
 CHUNK = 1 << 18  # tokens that are handled together
 HELD = 1 << 21  # different keys that a task holds before it passes them on
+RANGE = 1 << 22  # training tokens a range of contexts
+HOT_SHARE = 256
 PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-LOW = np.uint64(0xFFFFFFFF)
+U32, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+UNMIX = tuple(pow(m, -1, 1 << 64) for m in MIX)
+LONG_SLICE = 32  # followers from which a context's sums are stored
 
 
 def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,101 +79,176 @@ def chunks(batches, columns: int) -> Iterator[tuple[list[list], np.ndarray, np.n
         yield rows, *hashes(texts)
 
 
+def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two 32-bit ids that is different for different pairs."""
+    x = first.astype(np.uint64) << U32 | second.astype(np.uint64)
+    x = (x ^ x >> U32) * np.uint64(MIX[0])
+    x = (x ^ x >> np.uint64(29)) * np.uint64(MIX[1])
+    return x ^ x >> U32
+
+
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """first << 32 | second of a hash."""
+    x = (x ^ x >> U32) * np.uint64(UNMIX[1])
+    x = (x ^ x >> np.uint64(29) ^ x >> np.uint64(58)) * np.uint64(UNMIX[0])
+    return x ^ x >> U32
+
+
+Block = tuple[np.ndarray, ...]  # keys, perhaps a second key, counts
+
+
+def merged(*block: np.ndarray) -> Block:
+    """The block in order of its keys, counts of equal keys added up."""
+    *keys, counts = block
+    if not len(counts):
+        return block
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(keys) > 1 else keys[0][1:] != keys[0][:-1]
+    first = np.flatnonzero(new)
+    return (*(k[first] for k in keys), np.add.reduceat(counts[order], first))
+
+
 class Sums:
-    """Sums of counts by key; blocks are merged when they outgrow HELD, and passed on when merging doesn't help."""
+    """Sums of counts by key; blocks are merged when they outgrow HELD, or twice what the last merge left."""
 
     def __init__(self):
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> bool:
-        """True if it is time to pass on."""
-        block = np.unique(keys, return_counts=True) if counts is None else merged(keys, counts)
-        self.blocks.append(block)
-        self.size += len(block[0])
-        if self.size > HELD:
-            self.blocks = [merged(*map(np.concatenate, zip(*self.blocks, strict=True)))]
-            self.size = len(self.blocks[0][0])
+        self.blocks: list[Block] = []
+        self.size, self.limit = 0, HELD
+
+    def add(self, *block: np.ndarray) -> bool:
+        """True if merging doesn't make it small any more, and it is time to pass on."""
+        self.blocks.append(merged(*block))
+        self.size += len(self.blocks[-1][-1])
+        if self.size <= self.limit:
+            return False
+        self._merge()
         return self.size > HELD // 2
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = merged(*map(np.concatenate, zip(*self.blocks, strict=True))) if self.blocks else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def _merge(self) -> None:
+        if len(self.blocks) > 1:
+            self.blocks = [merged(*map(np.concatenate, zip(*self.blocks, strict=True)))]
+        self.size = len(self.blocks[0][-1])
+        self.limit = max(HELD, 2 * self.size)
+
+    def take(self) -> Block | None:
+        if not self.blocks:
+            return None
+        self._merge()
+        out = self.blocks[0]
         self.__init__()
         return out
 
 
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], np.asarray(counts)[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys as differences and counts, byte plane by byte plane, compressed."""
-    planes = [np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, counts.astype("<u8").view(np.uint8).reshape(-1, 8).T]
+def pack(*block: np.ndarray) -> bytes:
+    """Ascending keys as differences, second keys and counts, byte plane by byte plane, compressed."""
+    columns = [np.diff(block[0], prepend=np.uint64(0)), *(b.astype("<u4") for b in block[1:-1]), block[-1].astype("<u8")]
+    planes = [c.view(np.uint8).reshape(len(c), -1).T for c in columns]
     return PACK.compress(b"".join(np.ascontiguousarray(p).tobytes() for p in planes))
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(UNPACK.decompress(data), np.uint8).reshape(2, 8, -1)
-    keys, counts = (np.ascontiguousarray(p.T).reshape(-1).view("<u8") for p in raw)
-    return np.cumsum(keys, dtype=np.uint64), counts.astype(np.int64)
+def unpack(data: bytes, keys: int = 1) -> Block:
+    raw = np.frombuffer(UNPACK.decompress(data), np.uint8)
+    n, at, out = len(raw) // (12 + 4 * keys), 0, []
+    for width in (8, *(4,) * (keys - 1), 8):
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(f"<u{width}"))
+        at += n * width
+    return (np.cumsum(out[0], dtype=np.uint64), *out[1:-1], out[-1].astype(np.int64))
 
 
-def dealt(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-    """A row for each range of keys: its number and its packed part. bounds: the least key of each range but the first."""
-    cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-    rows = [(i, pack(keys[a:b], counts[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+def dealt(block: Block | None, bounds: np.ndarray, by: np.ndarray | None = None, base: int = 0) -> pa.RecordBatch:
+    """A row for each range: its number and its packed part. bounds: the least value of `by` (the first key) of each range but the first."""
+    rows = []
+    if block is not None:
+        cuts = [0, *np.searchsorted(block[0] if by is None else by, bounds).tolist(), len(block[0])]
+        rows = [(base + i, pack(*(c[a:b] for c in block))) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "part"])
 
 
-def ranges(batches, bucket: int = 0, part: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(range, keys, counts) of each range whose parts stand together."""
+def ranges(batches, keys: int = 1) -> Iterator[tuple[int, Block]]:
+    """(range, block) of each range whose parts stand together."""
     now, sums = None, Sums()
     for batch in batches:
-        for b, data in zip(batch.column(bucket).to_pylist(), batch.column(part).to_pylist(), strict=True):
+        for b, data in zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), strict=True):
             if b != now:
                 if now is not None:
-                    yield now, *sums.take()
+                    yield now, sums.take()
                 now = b
-            sums.add(*unpack(data))
+            sums.add(*unpack(data, keys))
     if now is not None:
-        yield now, *sums.take()
+        yield now, sums.take()
 
 
-def save(folder: str, name: str, array: np.ndarray) -> str:
-    """Writes an array to a file of a name of its own, since a task may run twice."""
+def save(folder: str, name: str, *arrays: np.ndarray) -> str:
+    """Writes arrays to a file of a name of its own, since a task may run twice: for each its width, type and length, then the data at multiples of 8 bytes."""
     uri = f"{folder}/{name}-{uuid.uuid4().hex}.bin"
     system, path = common.filesystem(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     with system.open_output_stream(path, compression=None) as out:
-        out.write(np.ascontiguousarray(array).tobytes())
+        out.write(np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], "<u8").tobytes())
+        for a in arrays:
+            data = np.ascontiguousarray(a).tobytes()
+            out.write(data + bytes(-len(data) % 8))
     return uri
 
 
 @lru_cache(maxsize=4096)
-def mapped(uri: str, kind: str) -> np.ndarray:
-    """The array in a file: memory-mapped where the shared folder is mounted, else read."""
+def mapped(uri: str) -> tuple[np.ndarray, ...]:
+    """The unsigned arrays in a file: memory-mapped where the shared folder is mounted, else read."""
     from pyarrow import fs
 
     system, path = common.filesystem(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if system.get_file_info(path).size else np.zeros(0, kind)
-    with system.open_input_file(path) as file:
-        return np.frombuffer(file.read(), kind)
+        data = np.memmap(path, np.uint8, "r")
+    else:
+        with system.open_input_file(path) as file:
+            data = np.frombuffer(file.read(), np.uint8)
+    n = int(data[:8].view("<u8")[0])
+    head = data[8 : 8 + 16 * n].view("<u8").reshape(n, 2).tolist()
+    at, out = 8 + 16 * n, []
+    for width, length in head:
+        out.append(data[at : at + width * length].view(f"<u{width}"))
+        at += -(-width * length // 8) * 8
+    return tuple(out)
+
+
+def compact(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One byte a count, and the places and values of those that don't fit."""
+    over = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), over.astype("<u8"), counts[over].astype("<u8")
+
+
+def expanded(small: np.ndarray, places: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The counts at some places."""
+    out = small[at].astype(np.int64)
+    large = np.flatnonzero(out == 255)
+    if len(large):
+        out[large] = values[np.searchsorted(places, at[large].astype(np.uint64))]
+    return out
 
 
 def _grouped(parts: DataFrame, buckets: int) -> DataFrame:
     return parts.repartition(min(buckets, 4 * common.partitions(parts.sparkSession)), "bucket").sortWithinPartitions("bucket")
 
 
+def _bounds(bits: int) -> np.ndarray:
+    return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+
+
+def _runs(place: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of an ascending array."""
+    begins = np.flatnonzero(np.diff(place, prepend=-1)).tolist() if len(place) else []
+    return [(int(place[a]), a, b) for a, b in zip(begins, [*begins[1:], len(place)], strict=True)]
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     bits: int
     offsets: np.ndarray  # id of the first word of each range, and V
-    files: tuple[tuple[str, str] | None, ...]  # hashes, counts
+    files: tuple[str | None, ...]  # hashes, counts
     total: int  # N
+    hot: np.ndarray  # ascending ids of words that hold over 1 / HOT_SHARE of all tokens
 
     def __len__(self) -> int:
         return int(self.offsets[-1])
@@ -174,7 +259,7 @@ class Vocabulary:
         cuts = np.searchsorted(hashes_, _bounds(self.bits))
         for i, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(hashes_)], strict=True)):
             if b > a and self.files[i]:
-                known = mapped(self.files[i][0], "<u8")
+                known = mapped(self.files[i])[0]
                 at = np.minimum(np.searchsorted(known, hashes_[a:b]), len(known) - 1)
                 hit = known[at] == hashes_[a:b]
                 out[a:b][hit] = (at + self.offsets[i])[hit]
@@ -188,30 +273,34 @@ class Vocabulary:
         return self.find(different)[back]
 
 
-def _bounds(bits: int) -> np.ndarray:
-    return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
-
-
 def count_words(training: DataFrame, folder: str, bits: int) -> Vocabulary:
     """training: text binary."""
 
     def scan(batches):
         sums = Sums()
         for _, h, _ in chunks(batches, 0):
-            if sums.add(h):
-                yield dealt(*sums.take(), _bounds(bits))
-        yield dealt(*sums.take(), _bounds(bits))
+            if sums.add(h, np.ones(len(h), np.int64)):
+                yield dealt(sums.take(), _bounds(bits))
+        yield dealt(sums.take(), _bounds(bits))
 
     def merge(batches):
-        rows = [(b, len(keys), int(counts.sum()), save(folder, "words", keys), save(folder, "counts", counts.astype("<u8"))) for b, keys, counts in ranges(batches)]
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["bucket", "n", "total", "words", "counts"])
+        names = ["bucket", "n", "total", "file", "often"]
+        rows = []
+        for b, (keys, counts) in ranges(batches):
+            often = np.flatnonzero(counts * HOT_SHARE > counts.sum())  # under HOT_SHARE of them
+            rows.append((b, len(keys), int(counts.sum()), save(folder, "words", keys, counts.astype("<u8")), [x for i in often.tolist() for x in (i, int(counts[i]))]))
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))], names)
 
     parts = training.mapInArrow(scan, "bucket int, part binary")
-    made = common.materialize(_grouped(parts, 1 << bits).mapInArrow(merge, "bucket int, n long, total long, words string, counts string"), "vocabulary").collect()  # a row a range
+    made = common.materialize(_grouped(parts, 1 << bits).mapInArrow(merge, "bucket int, n long, total long, file string, often array<long>"), "vocabulary").collect()  # a row a range
     sizes, files = np.zeros(1 << bits, np.int64), [None] * (1 << bits)
     for r in made:
-        sizes[r["bucket"]], files[r["bucket"]] = r["n"], (r["words"], r["counts"])
-    return Vocabulary(bits, np.concatenate(([0], np.cumsum(sizes))), tuple(files), sum(r["total"] for r in made))
+        sizes[r["bucket"]], files[r["bucket"]] = r["n"], r["file"]
+    offsets, total = np.concatenate(([0], np.cumsum(sizes))), sum(r["total"] for r in made)
+    if offsets[-1] + 2 > 1 << 32:
+        raise ValueError(f"{offsets[-1]} different words don't fit into 32-bit ids")
+    hot = sorted(int(offsets[r["bucket"]]) + i for r in made for i, n in zip(r["often"][::2], r["often"][1::2], strict=True) if n * HOT_SHARE > total)
+    return Vocabulary(bits, offsets, tuple(files), total, np.array([*hot, offsets[-1]], np.int64))  # the start mark, V, stands before many words too
 
 
 def discounts(of_counts: np.ndarray) -> np.ndarray:
@@ -225,63 +314,128 @@ def discounts(of_counts: np.ndarray) -> np.ndarray:
     return np.where((found > 0) & (found < [1, 2, 3]), found, plain)
 
 
+def _discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - np.concatenate(([0.0], d))[np.minimum(counts, 3).astype(np.int64)], 0)
+
+
+def _shares(counts: np.ndarray, totals: np.ndarray, seen: np.ndarray, d: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities; `below` where a context has no followers. seen: (n, 3) followers seen once, twice, more often."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(totals > 0, (_discounted(counts, d) + seen @ d * below) / totals, below)
+
+
+def pair_range(v: np.ndarray, w: np.ndarray, vocabulary: Vocabulary, bits: int) -> np.ndarray:
+    """The range of the pairs (v, w): by v, or by a hash of both where v is hot."""
+    by_word = (v.astype(np.int64) << bits) // (len(vocabulary) + 1)
+    by_hash = (mixed(v, w) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(v), np.int64)
+    at = np.minimum(np.searchsorted(vocabulary.hot, v), len(vocabulary.hot) - 1)
+    return np.where(vocabulary.hot[at] == v, by_hash, by_word)
+
+
 @dataclass(frozen=True)
 class Model:
     vocabulary: Vocabulary
-    files: tuple[tuple[str, str, str, str] | None, ...]  # by range of the previous word: keys, counts, totals, followers
-    before: tuple[str | None, ...]  # by range of the word: number of different words before it
-    pairs: int  # number of different bigrams
-    d: tuple[float, ...]
-    d1: tuple[float, ...]
+    bits: int
+    contexts: tuple[str | None, ...]  # by range of the hash: contexts, first, words, counts, sums of long slices
+    pairs: tuple[str | None, ...]  # by pair range: v << 32 | w, counts
+    words: tuple[tuple[str | None, ...], ...]  # by range of the word: total, once, twice, more (as a context), before
+    different: int  # number of different pairs
+    d: tuple[np.ndarray, np.ndarray, np.ndarray]  # of words, pairs, trigrams
     gamma1: float
 
+    def _dense(self, ids: np.ndarray, columns: list[int]) -> np.ndarray:
+        """(n, columns) of the word arrays of ascending ids; 0 for unknown words."""
+        out = np.zeros((len(ids), len(columns)))
+        known = np.searchsorted(ids, len(self.vocabulary) + 1)
+        for place, a, b in _runs(self.vocabulary.range_of(ids[:known])):
+            for i, c in enumerate(columns):
+                if self.words[place][c]:
+                    out[a:b, i] = mapped(self.words[place][c])[0][ids[a:b] - self.vocabulary.offsets[place]]
+        return out
+
     def unigram(self, ids: np.ndarray) -> np.ndarray:
-        """p(w) of ascending ids."""
-        v = self.vocabulary
-        n = _gather(self.before, v, ids, "<u4", len(v))
-        low = self.gamma1 / (len(v) + 1)
-        if not self.pairs:
-            return np.full(len(ids), 1 / (len(v) + 1))
-        return np.maximum(n - np.array([0.0, *self.d1])[np.minimum(n, 3).astype(int)], 0) / self.pairs + low
-
-    def log10(self, previous: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 p(word | previous) of each pair."""
-        v = self.vocabulary
+        """p(w)."""
         words, back = np.unique(ids, return_inverse=True)
-        p1 = self.unigram(words)[back]
-        keys, where = np.unique(previous.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64), return_inverse=True)
-        count, total, rest = np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys))
-        context = (keys >> np.uint64(32)).astype(np.int64)
-        known = np.searchsorted(context, len(v) + 1)  # unknown words stand last
-        place = v.range_of(context[:known])
-        cuts = np.flatnonzero(np.diff(place, prepend=-1)).tolist() + [known]
-        d = np.array([0.0, *self.d])
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            files = self.files[place[a]]
-            if not files:
-                continue
-            have = mapped(files[0], "<u8")
-            at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-            count[a:b] = np.where(have[at] == keys[a:b], mapped(files[1], "<u4")[at], 0)
-            own = context[a:b] - v.offsets[place[a]]
-            total[a:b] = mapped(files[2], "<u8")[own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rest[a:b] = np.where(total[a:b] > 0, mapped(files[3], "<u4").reshape(-1, 3)[own] @ d[1:] / total[a:b], 1.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            high = np.where(total > 0, np.maximum(count - d[np.minimum(count, 3).astype(int)], 0) / total, 0.0)
-        return np.log10(high[where] + rest[where] * p1)
-
-
-def _gather(files, v: Vocabulary, ids: np.ndarray, kind: str, known: int) -> np.ndarray:
-    """Values of ascending ids from one array a range; 0 where there is none."""
-    out = np.zeros(len(ids))
-    end = np.searchsorted(ids, known)
-    place = v.range_of(ids[:end])
-    cuts = np.flatnonzero(np.diff(place, prepend=-1)).tolist() + [end]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a and files[place[a]]:
-            out[a:b] = mapped(files[place[a]], kind)[ids[a:b] - v.offsets[place[a]]]
-    return out
+        size = len(self.vocabulary)
+        if not self.different:
+            return np.full(len(ids), 1 / (size + 1))
+        n = np.zeros(len(words))
+        inside = np.searchsorted(words, size)
+        n[:inside] = self._dense(words[:inside], [4])[:, 0]
+        return (_discounted(n, self.d[0]) / self.different + self.gamma1 / (size + 1))[back]
+
+    def bigram(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """p(w | v) of each pair."""
+        size = len(self.vocabulary)
+        keys, back = np.unique(v.astype(np.uint64) << U32 | w.astype(np.uint64), return_inverse=True)
+        v, w = (keys >> U32).astype(np.int64), (keys & LOW).astype(np.int64)
+        counts = np.zeros(len(keys), np.int64)
+        known = np.flatnonzero((v <= size) & (w < size))
+        place = pair_range(v[known], w[known], self.vocabulary, self.bits)
+        order = np.argsort(place, kind="stable")
+        known, place = known[order], place[order]
+        for p, a, b in _runs(place):
+            if self.pairs[p]:
+                have, *stored = mapped(self.pairs[p])
+                want = keys[known[a:b]]
+                at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+                hit = have[at] == want
+                counts[known[a:b][hit]] = expanded(*stored, at[hit])
+        different, own = np.unique(v, return_inverse=True)
+        sums = self._dense(different, [0, 1, 2, 3])[own]
+        return _shares(counts, sums[:, 0], sums[:, 1:], self.d[1], self.unigram(w))[back]
+
+    def _range(self, p: int, ctx: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
+        """Fills out (count, total, once, twice, more) of the trigrams of one range; ctx ascending."""
+        contexts, first, followers, small, places, values, long_at, *long_sums = mapped(self.contexts[p])
+        different, own = np.unique(ctx, return_inverse=True)
+        at = np.minimum(np.searchsorted(contexts, different), len(contexts) - 1)
+        known = contexts[at] == different
+        lo, hi = first[at].astype(np.int64), first[at + 1].astype(np.int64)
+        hi = np.where(known, hi, lo)
+        sums = np.zeros((len(different), 4))
+        short = np.flatnonzero(known & (hi - lo < LONG_SLICE))
+        if len(short):
+            length = hi[short] - lo[short]
+            ends = np.cumsum(length)
+            counts = expanded(small, places, values, np.arange(ends[-1]) + np.repeat(lo[short] - ends + length, length))
+            begin = ends - length
+            sums[short] = np.stack([np.add.reduceat(x, begin) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
+        long = np.flatnonzero(known & (hi - lo >= LONG_SLICE))
+        if len(long):
+            where = np.searchsorted(long_at, at[long].astype(np.uint64))
+            sums[long] = np.stack([x[where] for x in long_sums], 1)
+        out[:, 1:] = sums[own]
+        a, b = lo[own], hi[own]
+        end = b
+        while True:  # binary search of each w in its own slice
+            open_ = a < b
+            if not open_.any():
+                break
+            mid = (a + b) >> 1
+            less = open_ & (followers[np.minimum(mid, len(followers) - 1)] < w)
+            a, b = np.where(less, mid + 1, a), np.where(open_ & ~less, mid, b)
+        hit = np.flatnonzero((a < end) & (followers[np.minimum(a, len(followers) - 1)] == w))
+        out[hit, 0] = expanded(small, places, values, a[hit])
+
+    def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 p of each token of texts after the two before it."""
+        size = len(self.vocabulary)
+        v = _previous(ids, starts, size)
+        u = _previous(v, starts, size)
+        below = self.bigram(v, ids)
+        found = np.zeros((len(ids), 5))
+        known = np.flatnonzero((u <= size) & (v <= size))
+        ctx = mixed(u[known], v[known])
+        order = np.argsort(ctx)
+        known, ctx = known[order], ctx[order]
+        place = (ctx >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(ctx), np.int64)
+        for p, a, b in _runs(place):
+            if self.contexts[p]:
+                part = np.zeros((b - a, 5))
+                self._range(p, ctx[a:b], ids[known[a:b]], part)
+                found[known[a:b]] = part
+        return np.log10(_shares(found[:, 0], found[:, 1], found[:, 2:], self.d[2], below))
 
 
 def _previous(ids: np.ndarray, starts: np.ndarray, mark: int) -> np.ndarray:
@@ -290,64 +444,97 @@ def _previous(ids: np.ndarray, starts: np.ndarray, mark: int) -> np.ndarray:
     return out
 
 
-def count_pairs(training: DataFrame, v: Vocabulary, folder: str) -> Model:
+def _of_counts(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3, 4."""
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
+
+
+MERGED = "kind string, bucket int, part binary, n long, of_counts array<long>, file string"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.string())
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in MERGED.split(", ")])
+
+
+def _parts(batch: pa.RecordBatch) -> list[tuple]:
+    return [("part", b, p, None, None, None) for b, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+
+
+def count_ngrams(training: DataFrame, v: Vocabulary, folder: str, bits: int) -> Model:
     """training: text binary. The start mark has the id V."""
-    size, last = len(v), len(v.offsets) - 2
-    by_context = v.offsets[1:-1].astype(np.uint64) << np.uint64(32)
-    by_word = v.offsets[1:-1].astype(np.uint64)
+    size, buckets, word_ranges = len(v), 1 << bits, len(v.offsets) - 1
+    numbers = np.arange(1, buckets)
 
     def scan(batches):
         sums = Sums()
         for _, h, starts in chunks(batches, 0):
             ids = v.ids(h)
-            if sums.add(_previous(ids, starts, size).astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)):
-                yield dealt(*sums.take(), by_context)
-        yield dealt(*sums.take(), by_context)
+            before = _previous(ids, starts, size)
+            if sums.add(mixed(_previous(before, starts, size), before), ids.astype("<u4"), np.ones(len(ids), np.int64)):
+                yield dealt(sums.take(), _bounds(bits))
+        yield dealt(sums.take(), _bounds(bits))
+
+    def merge_trigrams(batches):
+        for b, (ctx, words, counts) in ranges(batches, 2):
+            begin = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
+            followers = np.diff(np.append(begin, len(ctx)))
+            long = np.flatnonzero(followers >= LONG_SLICE)
+            sums = [np.add.reduceat(x.astype(np.int64), begin)[long].astype("<u8") for x in (counts, counts == 1, counts == 2, counts > 2)]
+            file = save(folder, "trigrams", ctx[begin], np.append(begin, len(ctx)).astype("<u4"), words, *compact(counts), long.astype("<u8"), *sums)
+            middle = (unmixed(ctx) & LOW).astype(np.int64)
+            keys, n = merged(middle.astype(np.uint64) << U32 | words.astype(np.uint64), np.where(middle == size, counts, 1))
+            place = pair_range((keys >> U32).astype(np.int64), (keys & LOW).astype(np.int64), v, bits)
+            order = np.argsort(place, kind="stable")
+            yield _batch([("range", b, None, len(ctx), _of_counts(counts), file), *_parts(dealt((keys[order], n[order]), numbers, place[order]))])
+
+    def merge_pairs(batches):
+        by_word = v.offsets[1:-1].astype(np.uint64)
+        for b, (keys, n) in ranges(batches):
+            file = save(folder, "pairs", keys, *compact(n))
+            rows = [("range", b, None, len(keys), _of_counts(n), file)]
+            first = keys >> U32
+            for kind, (key, number) in enumerate(((first, n), (first, n == 1), (first, n == 2), (first, n > 2), (keys & LOW, np.ones(len(n))))):
+                kept = number > 0
+                rows += _parts(dealt(merged(key[kept], number[kept].astype(np.int64)), by_word, base=kind * word_ranges))
+            yield _batch(rows)
+
+    def merge_words(batches):
+        for b, (words, n) in ranges(batches):
+            kind, place = divmod(b, word_ranges)
+            dense = np.zeros(int(v.offsets[place + 1] - v.offsets[place]) + (place == word_ranges - 1), "<u8")  # the start mark follows the last word
+            dense[words.astype(np.int64) - int(v.offsets[place])] = n
+            yield _batch([("range", b, None, int((n > 2).sum()), _of_counts(n), save(folder, "dense", dense))])
+
+    def merge(parts: DataFrame, run, n: int, tag: str) -> tuple[DataFrame, list]:
+        found = common.materialize(_grouped(parts, n).mapInArrow(run, MERGED), tag)
+        return found.where("kind = 'part'").select("bucket", "part"), found.where("kind = 'range'").select("bucket", "n", "of_counts", "file").collect()  # a row a range
+
+    def by_bucket(rows: list, n: int) -> list:
+        out = [None] * n
+        for r in rows:
+            out[r["bucket"]] = r["file"]
+        return out
 
-    def merge(batches):
-        names = ["kind", "bucket", "part", "n", "of_counts", "files"]
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
-        for b, keys, counts in ranges(batches):
-            own = (keys >> np.uint64(32)).astype(np.int64) - int(v.offsets[b])
-            width = int(v.offsets[b + 1] - v.offsets[b]) + (b == last)  # the start mark follows the last word
-            totals = np.bincount(own, counts, width).astype("<u8")
-            seen = np.stack([np.bincount(own[m], minlength=width) for m in (counts == 1, counts == 2, counts > 2)], 1)
-            files = [save(folder, "keys", keys), save(folder, "pairs", counts.astype("<u4")), save(folder, "totals", totals), save(folder, "followers", seen.astype("<u4"))]
-            words, before = np.unique(keys & LOW, return_counts=True)
-            rows = [("range", b, None, len(keys), np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist(), files)]
-            part = dealt(words, before, by_word)
-            rows += [("before", k, p, None, None, None) for k, p in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
-
-    def before(batches):
-        rows = []
-        for b, words, n in ranges(batches):
-            dense = np.zeros(int(v.offsets[b + 1] - v.offsets[b]), "<u4")
-            dense[words.astype(np.int64) - int(v.offsets[b])] = n
-            rows.append((b, save(folder, "before", dense), np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), int((n > 2).sum())))
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.list_(pa.int64()), pa.int64()))], ["bucket", "file", "of_counts", "more"])
-
-    buckets = last + 1
-    found = common.materialize(_grouped(training.mapInArrow(scan, "bucket int, part binary"), buckets).mapInArrow(merge, "kind string, bucket int, part binary, n long, of_counts array<long>, files array<string>"), "pairs")
-    low = common.materialize(_grouped(found.where("kind = 'before'").select("bucket", "part"), buckets).mapInArrow(before, "bucket int, file string, of_counts array<long>, more long"), "before").collect()  # a row a range
-    high = found.where("kind = 'range'").select("bucket", "n", "of_counts", "files").collect()  # a row a range
     add = lambda rows: np.sum([r["of_counts"] for r in rows], axis=0) if rows else np.zeros(4)
-    files, before_files = [None] * buckets, [None] * buckets
-    for r in high:
-        files[r["bucket"]] = tuple(r["files"])
-    for r in low:
-        before_files[r["bucket"]] = r["file"]
-    pairs = sum(r["n"] for r in high)
-    d1 = discounts(add(low))
-    gamma1 = float(d1 @ [add(low)[0], add(low)[1], sum(r["more"] for r in low)]) / max(1, pairs)
-    return Model(v, tuple(files), tuple(before_files), pairs, tuple(discounts(add(high)).tolist()), tuple(d1.tolist()), gamma1)
+    parts, trigrams = merge(training.mapInArrow(scan, "bucket int, part binary"), merge_trigrams, buckets, "trigrams")
+    parts, pairs = merge(parts, merge_pairs, buckets, "pairs")
+    _, dense = merge(parts, merge_words, 5 * word_ranges, "words")
+    before = [r for r in dense if r["bucket"] >= 4 * word_ranges]
+    different = sum(r["n"] for r in pairs)
+    d1 = discounts(add(before))
+    gamma1 = float(d1 @ [add(before)[0], add(before)[1], sum(r["n"] for r in before)]) / max(1, different)
+    files = by_bucket(dense, 5 * word_ranges)
+    return Model(v, bits, tuple(by_bucket(trigrams, buckets)), tuple(by_bucket(pairs, buckets)), tuple(zip(*(files[k * word_ranges : (k + 1) * word_ranges] for k in range(5)), strict=True)), different, (d1, discounts(add(pairs)), discounts(add(trigrams))), gamma1)
 
 
 def fit(training: DataFrame, tag: str = "lm") -> Model:
     """training: one column, text binary."""
     spark = training.sparkSession
-    folder, bits = common.scratch(spark, tag), max(0, (common.partitions(spark) - 1).bit_length())
-    return count_pairs(training, count_words(training, folder, bits), folder)
+    folder = common.scratch(spark, tag)
+    bits = lambda n: max(0, (n - 1).bit_length())
+    words = count_words(training, folder, bits(common.text_ranges(training, each=256 << 20)))
+    return count_ngrams(training, words, folder, bits(max(common.partitions(spark), -(-words.total // RANGE))))
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -366,13 +553,15 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         for (doc_ids, held_), h, starts in chunks(batches, 2):
             words, back = np.unique(h, return_inverse=True)
             ids = v.find(words)
-            order = np.argsort(ids, kind="stable")
             counts = np.zeros(len(ids))
-            counts[order] = _gather([f and f[1] for f in v.files], v, ids[order], "<u8", size)
+            inside = np.flatnonzero(ids < size)
+            own = ids[inside]  # ascending, as ids keep the order of the hashes
+            for place, a, b in _runs(v.range_of(own)):
+                counts[inside[a:b]] = mapped(v.files[place])[1][own[a:b] - v.offsets[place]]
             base = np.log10((counts + 1) / (v.total + size + 1))[back]
             ids = ids[back]
             sums = lambda x, kind=np.float64: np.add.reduceat(x, starts, dtype=kind)  # noqa: E731, B023
-            columns = (doc_ids, held_, np.diff(np.append(starts, len(h))), sums(ids < size, np.int64), np.full(len(starts), v.total), sums(base), sums(m.log10(_previous(ids, starts, size), ids)))
+            columns = (doc_ids, held_, np.diff(np.append(starts, len(h))), sums(ids < size, np.int64), np.full(len(starts), v.total), sums(base), sums(m.log10(ids, starts)))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], [x.split()[0] for x in OUT.split(", ")])
 
     return rows.mapInArrow(run, OUT)

@@ -5,8 +5,9 @@ Manhattan distance of two such vectors is the popcount of their XOR, and it neve
 fingerprints. Vectors within distance 2 differ in at most 2 of 6 groups of segments, so they share at least one of the
 15 grid cells made of 4 groups. Candidates of a cell are filtered by the Manhattan bound and verified exactly.
 
-A cell of over `cell_rows` different fingerprints is not joined with itself: its members go to the 65 codes at Hamming
-distance 0 or 1, and members that share a code are within distance 2. Both ways are exact, and rows grow linearly.
+A cell of over `cell_rows` different fingerprints is cut further by a second grid of the same kind, whose segments have one bit and
+whose groups lie across those of the first: members within distance 2 agree in 4 of its 6 groups too. A cell of both grids
+leaves about ten bits open, so the number of different fingerprints in it is bounded whatever the input. Nothing is left out.
 
 Defined cases: null text counts as empty; a text without words has fingerprint 0 and links like any other; fewer than three
 words are one shingle; repeated rows give repeated rows; a null doc_id never names a component unless nothing else can.
@@ -70,14 +71,24 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-def _masks() -> list[int]:
-    """Masks of the 15 choices of 4 out of 6 groups of segments (widths 5, 5, 5, 5, 6, 6 segments of 2 bits), as signed longs."""
+def _masks(groups: list[int]) -> list[int]:
+    """Masks of the 15 choices of 4 out of 6 groups of bits, as signed longs."""
+    masks = [sum(c) for c in combinations(groups, 4)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _runs() -> list[int]:
+    """Six groups of segments that follow each other: 5, 5, 5, 5, 6, 6 segments of two bits."""
     groups, at = [], 0
     for width in (10, 10, 10, 10, 12, 12):
         groups.append(((1 << width) - 1) << at)
         at += width
-    masks = [sum(c) for c in combinations(groups, 4)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return groups
+
+
+def _stripes() -> list[int]:
+    """Six groups of single bits, each spread evenly over the fingerprint."""
+    return [sum(1 << i for i in range(64) if i % 6 == k) for k in range(6)]
 
 
 def unary_popcounts(fp: Column) -> Column:
@@ -89,32 +100,33 @@ def unary_popcounts(fp: Column) -> Column:
     return some.bitwiseOR(F.shiftleft(both, 1))
 
 
+def _cells(rows: DataFrame, by: str, groups: list[int], *more: str) -> DataFrame:
+    """rows with a row for each of the 15 cells of column `by`: g, cell, and the columns `more`."""
+    places = F.array(*[F.struct(F.lit(i).alias("g"), F.col(by).bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(_masks(groups))])
+    return rows.select("__fp", "__t", *more, F.explode(places).alias("x")).select("__fp", "__t", *more, "x.g", "x.cell")
+
+
+def _close_pairs(members: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """Pairs within a cell that the Manhattan bound lets pass and the exact distance confirms."""
+    a, b = members.alias("a"), members.alias("b")
+    close = (F.col("a.__fp") > F.col("b.__fp")) & (F.bit_count(F.col("a.__t").bitwiseXOR(F.col("b.__t"))) <= distance) & (F.bit_count(F.col("a.__fp").bitwiseXOR(F.col("b.__fp"))) <= distance)
+    for k in keys:
+        close = close & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.join(b, close).select(F.col("a.__fp").alias("a"), F.col("b.__fp").alias("b"))
+
+
 def links(fps: DataFrame, distance: int = 2, cell_rows: int = 256) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of different fingerprints within `distance` (2) bits. fps: __fp, distinct."""
-    if distance != 2:
-        raise ValueError("the grid and the codes are made for 2 bits")
+    """Edges (a, b): all pairs of different fingerprints within `distance` (at most 2) bits, some of them repeated. fps: __fp, distinct."""
+    if not 0 <= distance <= 2:
+        raise ValueError("4 of 6 groups agree within 2 bits at most")
     embedded = fps.select("__fp", unary_popcounts(F.col("__fp")).alias("__t"))
-    cells = embedded.select("__fp", "__t", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col("__t").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(_masks())])).alias("x")).select("__fp", "__t", "x.g", "x.cell")
+    cells = _cells(embedded, "__t", _runs())
     sizes = common.materialize(cells.groupBy("g", "cell").agg(F.count("*").alias("n")).where("n > 1"), "cells")
-    members = cells.join(sizes, ["g", "cell"])
-    small = common.materialize(members.where(F.col("n") <= cell_rows).select("g", "cell", "__fp", "__t"), "members")
-    a, b = small.alias("a"), small.alias("b")
-    close = (
-        (F.col("a.g") == F.col("b.g"))
-        & (F.col("a.cell") == F.col("b.cell"))
-        & (F.col("a.__fp") > F.col("b.__fp"))
-        & (F.bit_count(F.col("a.__t").bitwiseXOR(F.col("b.__t"))) <= distance)
-        & (F.bit_count(F.col("a.__fp").bitwiseXOR(F.col("b.__fp"))) <= distance)
-    )
-    edges = a.join(b, close).select(F.col("a.__fp").alias("a"), F.col("b.__fp").alias("b"))
-    if sizes.where(F.col("n") > cell_rows).isEmpty():
-        return edges
-    crowded = members.where(F.col("n") > cell_rows).select("__fp").distinct()
-    bits = [0, *((1 << i) - (1 << 64) if i == 63 else 1 << i for i in range(64))]
-    codes = crowded.select("__fp", F.explode(F.transform(F.array(*map(F.lit, bits)), lambda bit: F.col("__fp").bitwiseXOR(bit))).alias("code"))
-    least = codes.groupBy("code").agg(F.min("__fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    shared = codes.join(least, "code").where(F.col("__fp") != F.col("b")).select(F.col("__fp").alias("a"), "b")
-    return edges.union(shared.distinct())
+    members = common.materialize(cells.join(sizes, ["g", "cell"]), "members")
+    plain = members.where(F.col("n") <= cell_rows).select("__fp", "__t", "g", "cell")
+    crowded = members.where(F.col("n") > cell_rows).select("__fp", "__t", F.col("g").alias("g1"), F.col("cell").alias("cell1"))
+    finer = _cells(crowded, "__fp", _stripes(), "g1", "cell1")
+    return _close_pairs(plain, ["g", "cell"], distance).union(_close_pairs(finer, ["g1", "cell1", "g", "cell"], distance))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -135,14 +147,6 @@ def component_of_fingerprints(rows: DataFrame) -> DataFrame:
     return common.materialize(rooted.join(first, "root").select("__fp", "__n", F.col("root").alias("component_root"), "component_id"), "components")
 
 
-def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that come first by (doc_id, hash of the text) in their group of near-duplicates; of repeated rows one."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("__th"))
-    found = common.materialize(fingerprints(rows, ["doc_id", "__th"]), "fingerprints")
-    named = component_of_fingerprints(found)
-    return first_rows(docs, found, "__fp", named.select("__fp", "component_root"))
-
-
 def first_rows(docs: DataFrame, found: DataFrame, key: str, named: DataFrame) -> DataFrame:
     """The first row of docs by (doc_id, hash of the text) of each component_root. found: doc_id, __th, key; named: key, component_root."""
     least = found.groupBy(key).agg(F.min(F.struct(common.id_order(F.col("doc_id")).alias("id"), "__th")).alias("least"))

@@ -5,8 +5,12 @@ similarity of 0.8, where cells of segments select too little. With 20 bands of 5
 more similar ones with a higher one. Every candidate is verified on the whole sets, so no pair below the similarity links.
 
 Texts with the same set are one class. A first round holds each class against the least one of its bands, which links large groups
-with few pairs; a second one holds all pairs of a band that are still apart. A band of over `cell_rows` classes is dealt into parts
-of about that size in the second round, other parts in each band.
+with few pairs; a second one holds all pairs of a band that are still apart, so a band whose classes are one group by then needs
+nothing. A band of over `cell_rows` classes is cut by each other band: a pair at 0.8 shares a second one with a chance of 0.996. What
+is crowded even so is held against itself in blocks of `cell_rows` classes, so no class of it is left out.
+
+Defined cases: null text counts as empty, and empty texts are one group; fewer words than a shingle are one shingle; repeated rows leave one row; a
+null doc_id comes first; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -109,23 +113,48 @@ def _near(classes: DataFrame) -> DataFrame:
     return equal.union(edges.select("xa", "xb"))
 
 
+def _apart(members: DataFrame, keys: list[str], fits) -> DataFrame:
+    """Pairs (a, b) of a cell whose classes are in different groups so far and whose sizes allow the similarity."""
+    a, b = members.alias("a"), members.alias("b")
+    met = (F.col("a.__set") > F.col("b.__set")) & (F.col("a.root") != F.col("b.root")) & fits(F.col("a.__n"), F.col("b.__n"))
+    for k in keys:
+        met = met & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.join(b, met).select(F.col("a.__set").alias("a"), F.col("b.__set").alias("b"))
+
+
+def _open_cells(members: DataFrame, keys: list[str], cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """members (__set, __n, root, keys) of cells that hold several groups: those of at most cell_rows classes, and the others with the cell's size, rows."""
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(*keys, "rows")
+    open_ = common.materialize(members.join(sizes, keys), "open")
+    return open_.where(F.col("rows") <= cell_rows), open_.where(F.col("rows") > cell_rows)
+
+
+def _blocks(members: DataFrame, keys: list[str], cell_rows: int) -> DataFrame:
+    """A row for each pair of blocks that a member takes part in: x <= y number the blocks of its cell."""
+    blocks = F.ceil(F.col("rows") / cell_rows).cast("int")
+    own = F.pmod(F.xxhash64("__set"), blocks).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own)
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).select("__set", "__n", "root", *keys, "x", "y")
+
+
 def similar_classes(docs: DataFrame, found: DataFrame, words: int, similarity: float, cell_rows: int = 256) -> DataFrame:
     """__set, component_root (least __set that verified pairs reach) of each class of found."""
     classes = common.materialize(found.groupBy("__set").agg(F.first("__n").alias("__n"), F.first("__fp").alias("__fp"), F.first("__bands").alias("__bands")), "classes")
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    cells = classes.select(F.struct("__set", "__n").alias("x"), F.explode("__bands").alias("cell"))
-    sizes = common.materialize(cells.groupBy("cell").agg(F.count("*").alias("rows"), F.min("x").alias("lead")).where("rows > 1"), "cells")
-    part = F.pmod(F.xxhash64("x.__set", "cell"), F.ceil(F.col("rows") / cell_rows))
-    members = common.materialize(cells.join(sizes, "cell").select("x.__set", "x.__n", "cell", part.alias("part"), "lead"), "members")
+    cells = classes.select(F.struct("__set", "__n").alias("x"), "__bands", F.explode("__bands").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("rows"), F.min("x").alias("lead")).where("rows > 1").select("cell", "lead")
+    members = common.materialize(cells.join(sizes, "cell").select("x.__set", "x.__n", "__bands", "cell", "lead"), "members")
     stars = members.where(F.col("__set") != F.col("lead.__set")).select(F.struct("__set", "__n").alias("a"), F.col("lead").alias("b")).union(_near(classes.select("__set", "__n", "__fp")))
     stars = stars.where(fits(F.col("a.__n"), F.col("b.__n"))).select(F.col("a.__set").alias("a"), F.col("b.__set").alias("b")).distinct()
     first = _verified(docs, found, stars, words, similarity)
     roots = components(first).select(F.col("node").alias("__set"), "root")
-    placed = common.materialize(members.drop("lead").join(roots, "__set", "left").withColumn("root", F.coalesce("root", "__set")), "members")
-    a, b = placed.alias("a"), placed.alias("b")
-    apart = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.__set") > F.col("b.__set")) & (F.col("a.root") != F.col("b.root")) & fits(F.col("a.__n"), F.col("b.__n"))
-    second = a.join(b, apart).select(F.col("a.__set").alias("a"), F.col("b.__set").alias("b")).distinct()
-    both = first.union(_verified(docs, found, second, words, similarity))
+    placed = members.drop("lead").join(roots, "__set", "left").withColumn("root", F.coalesce("root", "__set"))
+    few, many = _open_cells(placed, ["cell"], cell_rows)
+    finer = many.select("__set", "__n", "root", "cell", F.explode(F.array_except("__bands", F.array("cell"))).alias("second"))
+    finer = finer.select("__set", "__n", "root", F.least("cell", "second").alias("cell"), F.greatest("cell", "second").alias("second")).distinct()  # both bands may be crowded
+    fine, crowded = _open_cells(finer, ["cell", "second"], cell_rows)
+    pairs = _apart(few, ["cell"], fits).union(_apart(fine, ["cell", "second"], fits)).union(_apart(_blocks(crowded, ["cell", "second"], cell_rows), ["cell", "second", "x", "y"], fits))
+    both = first.union(_verified(docs, found, pairs.distinct(), words, similarity))
     roots = components(both).select(F.col("node").alias("__set"), "root")
     return classes.select("__set").join(roots, "__set", "left").select("__set", F.coalesce("root", "__set").alias("component_root"))
 

@@ -149,8 +149,6 @@ def test_simhash(docs, none, rows):
     component = by_links(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 2, [d for d, _ in rows])
     same([tuple(r) for r in simhash.near_duplicates(docs).collect()], [(d, f"{f:016x}", c) for (d, _), f, c in zip(rows, fps, component, strict=True)])
     assert simhash.near_duplicates(none).collect() == []
-    kept = simhash.first_of_each_group(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(component)) and {r["doc_id"] for r in kept.collect()} <= {d for d, _ in rows}
 
 
 @pytest.mark.parametrize("cell_rows", [1, 256])
@@ -171,6 +169,19 @@ def test_simhash_links_are_whole(spark, cell_rows):
     assert [roots.get(x, x) for x in signed] == want
 
 
+def test_checksum_does_not_overflow(spark):
+    from sparkvet.llm.components import checksum
+
+    rows = spark.range(30_000_000).selectExpr("id a", "-id b")
+    assert tuple(rows.agg(*checksum("a", "b")).first())[0] == 30_000_000
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(5000, i) for i in range(2999, 4000)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert set(got.values()) == {0} and len(got) == 4001
+
+
 def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (-5, 200)]
@@ -178,33 +189,44 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, -5: -5, 200: -5}
 
 
+def trigram_model(training):
+    """p(w | u, v) by the formulas of interpolated modified Kneser-Ney smoothing, from plain counters."""
+    grams = Counter(g for t in training for x in [["<s>", "<s>", *t]] for g in zip(x, x[1:], x[2:], strict=False))
+    known = {w for t in training for w in t}
+    pairs = Counter()
+    for (_, v, w), n in grams.items():
+        pairs[v, w] += n if v == "<s>" else 1
+    before = Counter(w for _, w in pairs)
+    ds = [ngram_lm.discounts([sum(n == k for n in level.values()) for k in (1, 2, 3, 4)]) for level in (before, pairs, grams)]
+    sums = [defaultdict(list), defaultdict(list), defaultdict(list)]
+    for level, table in enumerate((before, pairs, grams)):
+        for g, n in table.items():
+            sums[level][g[:-1] if level else ()].append(n)
+
+    def p(level, context, w):
+        below = p(level - 1, context[1:], w) if level else 1 / (len(known) + 1)
+        seen = sums[level].get(context)
+        if not seen:
+            return below
+        n, d = (before[w], pairs[(*context, w)], grams[(*context, w)])[level] if level else before[w], ds[level]
+        return (max(n - d[min(n, 3) - 1], 0) if n else 0) / sum(seen) + sum(d[min(f, 3) - 1] for f in seen) / sum(seen) * below
+
+    return lambda u, v, w: p(2, (u, v), w), known
+
+
 def test_ngram_model(docs, none, rows):
     token = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) + [""]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     training = [token(t) for d, t in rows if not held(d)]
     c = Counter(w for t in training for w in t)
-    pairs = Counter(p for t in training for p in zip(["<s>", *t], t, strict=False))
-    d = ngram_lm.discounts([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)])
-    before = Counter(w for _, w in pairs)
-    d1 = ngram_lm.discounts([sum(n == k for n in before.values()) for k in (1, 2, 3, 4)])
-    total, n = sum(before.values()), sum(c.values())
-    gamma = sum(d1[min(x, 3) - 1] for x in before.values()) / total
-    p1 = lambda w: (max(before[w] - d1[min(before[w], 3) - 1], 0) / total if before[w] else 0) + gamma / (len(c) + 1)
-    followers = defaultdict(list)
-    for (v, w), x in pairs.items():
-        followers[v].append(x)
-
-    def p2(v, w):
-        if v not in followers:
-            return p1(w)
-        x, s = pairs[v, w], sum(followers[v])
-        return (max(x - d[min(x, 3) - 1], 0) if x else 0) / s + sum(d[min(f, 3) - 1] for f in followers[v]) / s * p1(w)
-
-    assert abs(sum(p2("the", w) for w in [*c, "never seen"]) - 1) < 1e-9
+    n = sum(c.values())
+    p, known = trigram_model(training)
+    assert abs(sum(p("the", "of", w) for w in [*known, "never seen"]) - 1) < 1e-9
     want = {}
     for doc, t in rows:
         x = token(t)
-        want[doc] = (held(doc), len(x), sum(w in c for w in x), n, sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in x), sum(math.log10(p2(v, w)) for v, w in zip(["<s>", *x], x, strict=False)))
+        y = ["<s>", "<s>", *x]
+        want[doc] = (held(doc), len(x), sum(w in c for w in x), n, sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in x), sum(math.log10(p(*g)) for g in zip(y, y[1:], x, strict=False)))
     got = ngram_lm.score(docs).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -212,6 +234,16 @@ def test_ngram_model(docs, none, rows):
     assert ngram_lm.score(none).collect() == []
 
 
+def test_ngram_ids_and_counts():
+    g = np.random.default_rng(1)
+    u, v = g.integers(0, 1 << 32, (2, 1000), np.uint64)
+    assert (ngram_lm.unmixed(ngram_lm.mixed(u, v)) == (u << ngram_lm.U32 | v)).all()
+    counts = np.array([1, 254, 255, 3, 1 << 32, (1 << 40) + 7])
+    assert (ngram_lm.expanded(*ngram_lm.compact(counts), np.arange(6)) == counts).all()
+    keys, second, n = np.array([3, 3, 9, 1 << 63], np.uint64), np.array([1, 2, 0, 5], "<u4"), np.array([1, 1 << 40, 2, 3])
+    assert all((x == y).all() for x, y in zip(ngram_lm.unpack(ngram_lm.pack(keys, second, n), 2), (keys, second, n), strict=True))
+
+
 def vectors(spark, n=400):
     g = np.random.default_rng(2)
     base = g.normal(size=(n // 8, 24))
