@@ -1,9 +1,8 @@
 """An interpolated modified Kneser-Ney trigram model, counted in Spark, stored as sorted hash arrays, memory-mapped by workers.
 
 Words are known by their 64-bit hash. The vocabulary is the sorted array of the hashes of all training tokens, cut into ranges by
-the leading bits; a word's id is its place in it. A context (u, v) is known by a 64-bit hash of its two ids that can be undone, so
-no two contexts meet. Trigrams are dealt to ranges by the leading bits of that hash: a range file holds the sorted contexts, where the
-followers of each begin, the followers' ids in order and their counts. A second shuffle of the different (v, w) with the
+the leading bits; a word's id is its place in it, so ids keep the order of the hashes. Trigrams are dealt to ranges by a hash of their
+context (u, v): a range file holds the sorted contexts as u << 32 | v, where the followers of each begin, the followers' ids in order and their counts. A second shuffle of the different (v, w) with the
 number of different u before them gives the middle order, a third one the numbers of v and w. Counts take one byte, and those of 255
 or more stand in a table of their own with 64 bits, so none wraps.
 
@@ -45,7 +44,6 @@ HOT_SHARE = 256
 PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 U32, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
-UNMIX = tuple(pow(m, -1, 1 << 64) for m in MIX)
 LONG_SLICE = 32  # followers from which a context's sums are stored
 
 
@@ -79,19 +77,13 @@ def chunks(batches, columns: int) -> Iterator[tuple[list[list], np.ndarray, np.n
         yield rows, *hashes(texts)
 
 
-def mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two 32-bit ids that is different for different pairs."""
-    x = first.astype(np.uint64) << U32 | second.astype(np.uint64)
-    x = (x ^ x >> U32) * np.uint64(MIX[0])
+def spread(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """A range of each pair of ids (first << 32 | second), by the leading bits of a hash."""
+    if not bits:
+        return np.zeros(len(pairs), np.int64)
+    x = (pairs ^ pairs >> U32) * np.uint64(MIX[0])
     x = (x ^ x >> np.uint64(29)) * np.uint64(MIX[1])
-    return x ^ x >> U32
-
-
-def unmixed(x: np.ndarray) -> np.ndarray:
-    """first << 32 | second of a hash."""
-    x = (x ^ x >> U32) * np.uint64(UNMIX[1])
-    x = (x ^ x >> np.uint64(29) ^ x >> np.uint64(58)) * np.uint64(UNMIX[0])
-    return x ^ x >> U32
+    return ((x ^ x >> U32) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 Block = tuple[np.ndarray, ...]  # keys, perhaps a second key, counts
@@ -102,12 +94,41 @@ def merged(*block: np.ndarray) -> Block:
     *keys, counts = block
     if not len(counts):
         return block
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(keys) > 1 else keys[0][1:] != keys[0][:-1]
-    first = np.flatnonzero(new)
-    return (*(k[first] for k in keys), np.add.reduceat(counts[order], first))
+    order = np.argsort(keys[0])
+    sort_by = keys[0][order]
+    if len(keys) > 1:  # the second key, below the rank of the first
+        rank = np.zeros(len(order), np.uint64)
+        np.cumsum(sort_by[1:] != sort_by[:-1], out=rank[1:])
+        sort_by = rank << U32 | keys[1][order]
+        second = np.argsort(sort_by)
+        order, sort_by = order[second], sort_by[second]
+    first = _begins(sort_by)
+    return (*(k[order[first]] for k in keys), np.add.reduceat(counts[order], first))
+
+
+def _begins(ascending: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(ascending)), bool), ascending[1:] != ascending[:-1])))
+
+
+def _stable(place: np.ndarray) -> np.ndarray:
+    """The order of range numbers, equal ones as they come; numbers of 16 bits are sorted by counting."""
+    return np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
+
+
+def counted_trigrams(h: np.ndarray, starts: np.ndarray, v: Vocabulary) -> Block:
+    """Contexts (u << 32 | v), words and counts of the different trigrams of a chunk, in order."""
+    words, own = np.unique(h, return_inverse=True)
+    ids = np.append(v.find(words), len(v)).astype(np.uint64)  # ascending: all words are known
+    own, mark = own.astype(np.uint64), np.uint64(len(words))
+    before = _previous(own, starts, mark)
+    bits = np.uint64(21)
+    if len(words) >> 21:
+        raise ValueError("a chunk has more different words than its keys hold")
+    keys = np.sort(_previous(before, starts, mark) << bits + bits | before << bits | own)
+    first = _begins(keys)
+    keys, low = keys[first], np.uint64((1 << 21) - 1)
+    return ids[keys >> bits + bits] << U32 | ids[keys >> bits & low], ids[keys & low].astype("<u4"), np.diff(np.append(first, len(h)))
 
 
 class Sums:
@@ -200,7 +221,7 @@ def mapped(uri: str) -> tuple[np.ndarray, ...]:
 
     system, path = common.filesystem(uri)
     if isinstance(system, fs.LocalFileSystem):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
     else:
         with system.open_input_file(path) as file:
             data = np.frombuffer(file.read(), np.uint8)
@@ -268,10 +289,6 @@ class Vocabulary:
     def range_of(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets[1:-1], ids, side="right")
 
-    def ids(self, hashes_: np.ndarray) -> np.ndarray:
-        different, back = np.unique(hashes_, return_inverse=True)
-        return self.find(different)[back]
-
 
 def count_words(training: DataFrame, folder: str, bits: int) -> Vocabulary:
     """training: text binary."""
@@ -327,7 +344,7 @@ def _shares(counts: np.ndarray, totals: np.ndarray, seen: np.ndarray, d: np.ndar
 def pair_range(v: np.ndarray, w: np.ndarray, vocabulary: Vocabulary, bits: int) -> np.ndarray:
     """The range of the pairs (v, w): by v, or by a hash of both where v is hot."""
     by_word = (v.astype(np.int64) << bits) // (len(vocabulary) + 1)
-    by_hash = (mixed(v, w) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(v), np.int64)
+    by_hash = spread(v.astype(np.uint64) << U32 | w.astype(np.uint64), bits)
     at = np.minimum(np.searchsorted(vocabulary.hot, v), len(vocabulary.hot) - 1)
     return np.where(vocabulary.hot[at] == v, by_hash, by_word)
 
@@ -336,7 +353,7 @@ def pair_range(v: np.ndarray, w: np.ndarray, vocabulary: Vocabulary, bits: int)
 class Model:
     vocabulary: Vocabulary
     bits: int
-    contexts: tuple[str | None, ...]  # by range of the hash: contexts, first, words, counts, sums of long slices
+    contexts: tuple[str | None, ...]  # by range: contexts, first, words, counts, sums of long slices
     pairs: tuple[str | None, ...]  # by pair range: v << 32 | w, counts
     words: tuple[tuple[str | None, ...], ...]  # by range of the word: total, once, twice, more (as a context), before
     different: int  # number of different pairs
@@ -372,7 +389,7 @@ class Model:
         counts = np.zeros(len(keys), np.int64)
         known = np.flatnonzero((v <= size) & (w < size))
         place = pair_range(v[known], w[known], self.vocabulary, self.bits)
-        order = np.argsort(place, kind="stable")
+        order = _stable(place)
         known, place = known[order], place[order]
         for p, a, b in _runs(place):
             if self.pairs[p]:
@@ -407,14 +424,14 @@ class Model:
             sums[long] = np.stack([x[where] for x in long_sums], 1)
         out[:, 1:] = sums[own]
         a, b = lo[own], hi[own]
-        end = b
-        while True:  # binary search of each w in its own slice
-            open_ = a < b
-            if not open_.any():
-                break
-            mid = (a + b) >> 1
-            less = open_ & (followers[np.minimum(mid, len(followers) - 1)] < w)
-            a, b = np.where(less, mid + 1, a), np.where(open_ & ~less, mid, b)
+        end, open_ = b.copy(), np.flatnonzero(a < b)
+        while len(open_):  # binary search of each w in its own slice
+            lo_, hi_ = a[open_], b[open_]
+            mid = (lo_ + hi_) >> 1
+            less = followers[mid] < w[open_]
+            a[open_] = lo_ = np.where(less, mid + 1, lo_)
+            b[open_] = hi_ = np.where(less, hi_, mid)
+            open_ = open_[lo_ < hi_]
         hit = np.flatnonzero((a < end) & (followers[np.minimum(a, len(followers) - 1)] == w))
         out[hit, 0] = expanded(small, places, values, a[hit])
 
@@ -426,11 +443,11 @@ class Model:
         below = self.bigram(v, ids)
         found = np.zeros((len(ids), 5))
         known = np.flatnonzero((u <= size) & (v <= size))
-        ctx = mixed(u[known], v[known])
+        ctx = u[known].astype(np.uint64) << U32 | v[known].astype(np.uint64)
         order = np.argsort(ctx)
+        order = order[_stable(spread(ctx[order], self.bits))]
         known, ctx = known[order], ctx[order]
-        place = (ctx >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(ctx), np.int64)
-        for p, a, b in _runs(place):
+        for p, a, b in _runs(spread(ctx, self.bits)):
             if self.contexts[p]:
                 part = np.zeros((b - a, 5))
                 self._range(p, ctx[a:b], ids[known[a:b]], part)
@@ -466,26 +483,31 @@ def count_ngrams(training: DataFrame, v: Vocabulary, folder: str, bits: int) ->
     size, buckets, word_ranges = len(v), 1 << bits, len(v.offsets) - 1
     numbers = np.arange(1, buckets)
 
+    def by_range(block: Block | None) -> pa.RecordBatch:
+        if block is None:
+            return dealt(None, numbers)
+        place = spread(block[0], bits)
+        order = _stable(place)
+        return dealt(tuple(c[order] for c in block), numbers, place[order])
+
     def scan(batches):
         sums = Sums()
         for _, h, starts in chunks(batches, 0):
-            ids = v.ids(h)
-            before = _previous(ids, starts, size)
-            if sums.add(mixed(_previous(before, starts, size), before), ids.astype("<u4"), np.ones(len(ids), np.int64)):
-                yield dealt(sums.take(), _bounds(bits))
-        yield dealt(sums.take(), _bounds(bits))
+            if sums.add(*counted_trigrams(h, starts, v)):
+                yield by_range(sums.take())
+        yield by_range(sums.take())
 
     def merge_trigrams(batches):
         for b, (ctx, words, counts) in ranges(batches, 2):
-            begin = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
+            begin = _begins(ctx)
             followers = np.diff(np.append(begin, len(ctx)))
             long = np.flatnonzero(followers >= LONG_SLICE)
             sums = [np.add.reduceat(x.astype(np.int64), begin)[long].astype("<u8") for x in (counts, counts == 1, counts == 2, counts > 2)]
             file = save(folder, "trigrams", ctx[begin], np.append(begin, len(ctx)).astype("<u4"), words, *compact(counts), long.astype("<u8"), *sums)
-            middle = (unmixed(ctx) & LOW).astype(np.int64)
+            middle = (ctx & LOW).astype(np.int64)
             keys, n = merged(middle.astype(np.uint64) << U32 | words.astype(np.uint64), np.where(middle == size, counts, 1))
             place = pair_range((keys >> U32).astype(np.int64), (keys & LOW).astype(np.int64), v, bits)
-            order = np.argsort(place, kind="stable")
+            order = _stable(place)
             yield _batch([("range", b, None, len(ctx), _of_counts(counts), file), *_parts(dealt((keys[order], n[order]), numbers, place[order]))])
 
     def merge_pairs(batches):

@@ -236,8 +236,11 @@ def test_ngram_model(docs, none, rows):
 
 def test_ngram_ids_and_counts():
     g = np.random.default_rng(1)
-    u, v = g.integers(0, 1 << 32, (2, 1000), np.uint64)
-    assert (ngram_lm.unmixed(ngram_lm.mixed(u, v)) == (u << ngram_lm.U32 | v)).all()
+    block = [g.integers(0, 9, 500, np.uint64) << np.uint64(50), g.integers(0, 9, 500).astype("<u4"), g.integers(1, 1 << 40, 500)]
+    want = Counter()
+    for a, b, n in zip(*(c.tolist() for c in block), strict=True):
+        want[a, b] += n
+    assert [((a, b), n) for a, b, n in zip(*(c.tolist() for c in ngram_lm.merged(*block)), strict=True)] == sorted(want.items())
     counts = np.array([1, 254, 255, 3, 1 << 32, (1 << 40) + 7])
     assert (ngram_lm.expanded(*ngram_lm.compact(counts), np.arange(6)) == counts).all()
     keys, second, n = np.array([3, 3, 9, 1 << 63], np.uint64), np.array([1, 2, 0, 5], "<u4"), np.array([1, 1 << 40, 2, 3])
