@@ -250,7 +250,8 @@ def expanded(small: np.ndarray, places: np.ndarray, values: np.ndarray, at: np.n
 
 
 def _grouped(parts: DataFrame, buckets: int) -> DataFrame:
-    return parts.repartition(min(buckets, 4 * common.partitions(parts.sparkSession)), "bucket").sortWithinPartitions("bucket")
+    n = min(buckets, 4 * common.partitions(parts.sparkSession))
+    return parts.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket")
 
 
 def _bounds(bits: int) -> np.ndarray:
@@ -305,7 +306,7 @@ def count_words(training: DataFrame, folder: str, bits: int) -> Vocabulary:
         rows = []
         for b, (keys, counts) in ranges(batches):
             often = np.flatnonzero(counts * HOT_SHARE > counts.sum())  # under HOT_SHARE of them
-            rows.append((b, len(keys), int(counts.sum()), save(folder, "words", keys, counts.astype("<u8")), [x for i in often.tolist() for x in (i, int(counts[i]))]))
+            rows.append((b, len(keys), int(counts.sum()), save(folder, "words", keys, *compact(counts)), [x for i in often.tolist() for x in (i, int(counts[i]))]))
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))], names)
 
     parts = training.mapInArrow(scan, "bucket int, part binary")
@@ -367,7 +368,7 @@ class Model:
         for place, a, b in _runs(self.vocabulary.range_of(ids[:known])):
             for i, c in enumerate(columns):
                 if self.words[place][c]:
-                    out[a:b, i] = mapped(self.words[place][c])[0][ids[a:b] - self.vocabulary.offsets[place]]
+                    out[a:b, i] = expanded(*mapped(self.words[place][c]), ids[a:b] - self.vocabulary.offsets[place])
         return out
 
     def unigram(self, ids: np.ndarray) -> np.ndarray:
@@ -524,9 +525,9 @@ def count_ngrams(training: DataFrame, v: Vocabulary, folder: str, bits: int) ->
     def merge_words(batches):
         for b, (words, n) in ranges(batches):
             kind, place = divmod(b, word_ranges)
-            dense = np.zeros(int(v.offsets[place + 1] - v.offsets[place]) + (place == word_ranges - 1), "<u8")  # the start mark follows the last word
+            dense = np.zeros(int(v.offsets[place + 1] - v.offsets[place]) + (place == word_ranges - 1), np.int64)  # the start mark follows the last word
             dense[words.astype(np.int64) - int(v.offsets[place])] = n
-            yield _batch([("range", b, None, int((n > 2).sum()), _of_counts(n), save(folder, "dense", dense))])
+            yield _batch([("range", b, None, int((n > 2).sum()), _of_counts(n), save(folder, "dense", *compact(dense)))])
 
     def merge(parts: DataFrame, run, n: int, tag: str) -> tuple[DataFrame, list]:
         found = common.materialize(_grouped(parts, n).mapInArrow(run, MERGED), tag)
@@ -579,7 +580,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             inside = np.flatnonzero(ids < size)
             own = ids[inside]  # ascending, as ids keep the order of the hashes
             for place, a, b in _runs(v.range_of(own)):
-                counts[inside[a:b]] = mapped(v.files[place])[1][own[a:b] - v.offsets[place]]
+                counts[inside[a:b]] = expanded(*mapped(v.files[place])[1:], own[a:b] - v.offsets[place])
             base = np.log10((counts + 1) / (v.total + size + 1))[back]
             ids = ids[back]
             sums = lambda x, kind=np.float64: np.add.reduceat(x, starts, dtype=kind)  # noqa: E731, B023
