@@ -211,9 +211,10 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarr
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, buckets: int = 256) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. docs: doc_id, text.
 
-    buckets: parts in which pieces of one length are numbered; their counts make the numbers global.
+    buckets: the least number of parts in which pieces of one length are numbered, whose counts make the numbers global; a part more for each 2^18 pieces.
     """
     pieces = common.materialize(tokenized_pieces(docs, vocabulary, capacity, end_id), "pieces")
+    buckets = max(buckets, pieces.count() >> 18)
     pieces = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = pieces.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,8 +5,8 @@ the public seekable format (184D2A5E ... 8F92EAB1) with the compressed size, raw
 each frame. A frame holds, little-endian: uint32 documents, uint8 bytes an id, int64 doc ids, uint32 lengths, ids. A reader seeks
 to the end, reads the two tables and decompresses the frames it needs alone.
 
-Defined cases: null text counts as empty (the end id alone); rows of one doc_id stand together, by text; null doc_ids come first
-and read back as null; an empty table gives no file and no rows; other columns are ignored.
+Defined cases: null text counts as empty (the end id alone); rows of one doc_id stand together, by hash of the text, in several files if
+there are very many; null doc_ids come first and read back as null; an empty table gives no file and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,6 +83,12 @@ class Reader:
             self.frames.append((at, packed, raw, check, first, last))
             at += packed
 
+    def __enter__(self) -> Reader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
     def _at(self, offset: int, n: int) -> bytes:
         return self.file.read_at(n, offset)
 
@@ -119,11 +125,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, frame_
     A task writes under a name of its own, and only the manifest says which files count: files of lost attempts are never read.
     """
     spark = docs.sparkSession
-    rows = docs.select(common.id_order(docs["doc_id"]).alias("doc_id"), common.text_bytes(docs).alias("text"))
-    n = common.partitions(spark)
-    bounds = common.range_bounds(docs.select(docs["doc_id"].cast("long").alias("doc_id")), "doc_id", n)
-    rows = rows.withColumn("bucket", common.range_bucket(F.col("doc_id"), bounds).cast("int"))
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
+    rows = docs.select(common.id_order(docs["doc_id"]).alias("doc_id"), common.text_bytes(docs).alias("text")).withColumn("hash", F.xxhash64("text"))
+    bounds = common.range_bounds(rows, "doc_id", common.text_ranges(docs, each=32 << 20))
+    rows = rows.withColumn("bucket", common.range_bucket(F.col("doc_id"), F.col("hash"), bounds))
+    rows = rows.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("doc_id", "hash").select("doc_id", "text", "bucket")
     end = np.array([end_id], "<u4")
 
     def run(batches):
@@ -172,13 +177,14 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out = ([], [], [], [])
-                for doc_id, ids in Reader(name).documents():
-                    for column, value in zip(out, (None if doc_id == common.LONG_MIN else doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
-                        column.append(value)
-                    start += len(ids)
-                    if len(out[0]) >= 10_000:
-                        yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                        out = ([], [], [], [])
+                with Reader(name) as file:
+                    for doc_id, ids in file.documents():
+                        for column, value in zip(out, (None if doc_id == common.LONG_MIN else doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                            column.append(value)
+                        start += len(ids)
+                        if len(out[0]) >= 10_000:
+                            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                            out = ([], [], [], [])
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "file string, start long").repartition(len(rows))

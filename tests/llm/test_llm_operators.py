@@ -271,26 +271,74 @@ def test_embeddings(spark):
     assert embed_graph.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_merkle(docs, none, rows):
-    order = sorted(rows, key=lambda r: (common.LONG_MIN if r[0] is None else r[0]))
+def slices_of(text):
+    """The slices of each paragraph, by the rule: cuts behind eight bytes whose hash is 0 modulo 64."""
+    data, out, at = text.encode(), [], 0
+    cut = {i + 8 for i in range(len(data) - 7) if (int.from_bytes(data[i : i + 8], "little") * 0x9E3779B97F4A7C15 % (1 << 64)) >> 58 == 0}
+    for line in data.split(b"\n"):
+        ends = [c - at for c in sorted(cut) if at < c < at + len(line)]
+        out.append([line[i:j] for i, j in zip([0, *ends], [*ends, len(line)], strict=True) if j > i])
+        at += len(line) + 1
+    return out
+
+
+def test_merkle_trees_by_hand():
+    digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    for t in ["", "one", "a\n\nb", BASE, "\n".join([BASE, words(40), "", words(200)])]:
+        sections, held, shown = [], [], []
+        paragraphs = slices_of(t)
+        for i, leaves in enumerate(paragraphs):
+            leaves = [digest(b"l" + x) for x in leaves]
+            held.append(digest(b"p" + b"".join(leaves)))
+            shown.append(held[-1].hex()[:6] * bool(leaves) + "".join(x.hex()[:4] for x in leaves) * (len(leaves) > 1))
+            if not leaves or held[-1][-1] % 8 == 0 or i + 1 == len(paragraphs):
+                sections.append((digest(b"s" + b"".join(held)), ",".join(shown)))
+                held, shown = [], []
+        want = digest(b"r" + b"".join(s for s, _ in sections)).hex() + ":" + ";".join(f"{s.hex()[:8]}={x}" for s, x in sections)
+        assert merkle.fingerprint(t) == want and merkle.shown(merkle.parsed(want)) == want
+
+
+def test_merkle_likeness_and_edits():
+    def by_hand(a, b):
+        x, y = ([s for p in slices_of(t) for s in p] for t in (a, b))
+        rows = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, v in enumerate(x):
+            for j, w in enumerate(y):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if v == w else max(rows[i][j + 1], rows[i + 1][j])
+        return 2 * rows[-1][-1] / (len(x) + len(y))
+
+    a = "\n".join(" ".join(f"word{(i * 37 + j * 11) % 997}" for j in range(60)) for i in range(30))
+    lines = a.split("\n")
+    shuffled = random.Random(2).sample(lines, len(lines))
+    inserted = a.replace("word55 ", "word55 an insertion of five words ", 1)
+    for b in (inserted, a[100:], a + " end", lines[3] + "\n" + a, "\n".join(shuffled), merkle.edited(a, "\n".join(lines[::-1]))):
+        got = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+        assert 0 < got < 1 and by_hand(a, b) - 0.05 <= got <= by_hand(a, b) + 0.01
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint("\n".join(shuffled))) < 0.6  # order counts
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a)) == 1 and merkle.likeness(merkle.fingerprint("x"), merkle.fingerprint("y")) == 0
+    edits = merkle.differing(merkle.fingerprint(a), merkle.fingerprint(inserted))
+    line = next(i for i, x in enumerate(inserted.split("\n")) if "an insertion" in x)
+    ends = [len(ps) for _, ps in merkle.parsed(merkle.fingerprint(inserted))[1]]
+    assert 1 <= len(edits) <= 3 and {sum(ends[:s]) + p for s, p, _ in edits} == {line}
+
+
+def test_merkle(spark, docs, none, rows):
+    hash_of = {(r["doc_id"], r["t"]): r["h"] for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (common.LONG_MIN if r[0] is None else r[0], hash_of[r]))
+    want = []
+    for i, (d, t) in enumerate(order):
+        changed = merkle.edited(t, order[(i + 1) % len(order)][1])
+        want.append((d, len(t), hashlib.sha256(changed.encode()).hexdigest(), merkle.fingerprint(t), merkle.fingerprint(changed)))
     got = merkle.fingerprints_with_edits(docs).collect()
-    assert len(got) == len(rows) and merkle.fingerprints_with_edits(none).collect() == []
-    by_id = defaultdict(list)
+    same([tuple(r)[:5] for r in got], want)
     for r in got:
-        by_id[r["doc_id"]].append(r)
-    for i, (d, t) in enumerate(order):
-        r = by_id[d].pop()
-        following = order[(i + 1) % len(order)][1]
-        edited = merkle.edited(t, following)
-        assert r["n_chars"] == len(t) and r["fingerprint"] == merkle.fingerprint(t)
-        if sum(x[0] == d for x in order) == 1:
-            assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["edited_fingerprint"] == merkle.fingerprint(edited)
-            assert r["near_next"] == merkle.likeness(merkle.fingerprint(t), merkle.fingerprint(following))
-    a = "\n".join(f"paragraph {i} " * 5 for i in range(30))
-    b = a.replace("paragraph 17 ", "paragraph X ", 1)
-    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a)) == 1 and 0.8 < merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) < 1
-    assert len(merkle.differing(merkle.fingerprint(a), merkle.fingerprint(b))) == 1
+        assert r["near_edited"] == merkle.likeness(r["fingerprint"], r["edited_fingerprint"]) and (r["edited_slices"] == 0) == (r["first_edit"] is None)
+    assert merkle.fingerprints_with_edits(none).collect() == []
     assert len({merkle.fingerprint(t) for t in {x for _, x in rows}}) == len({x for _, x in rows})
+    many = spark.range(400).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    texts = {r["text"] for r in many.collect()}
+    got = merkle.fingerprints_with_edits(many).collect()
+    assert len(got) == 400 and {r["fingerprint"] for r in got} == {merkle.fingerprint(t) for t in texts}
 
 
 def labelled(spark):
@@ -355,7 +403,7 @@ def test_token_files(spark, docs, none, rows):
         assert (s, n, crc) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += n
     assert [x[0] for x in sorted(got, key=lambda x: x[1])] == sorted((d for d, _ in rows), key=lambda d: common.LONG_MIN if d is None else d)
-    reader = token_files.Reader(manifest.where("documents > 0").first()["file"])
+    reader = token_files.Reader(manifest.orderBy(F.desc("documents")).first()["file"])
     some = reader.frames[-1][5]
     assert len(reader.frames) > 1 and reader.find(some) and reader.find(-77) == []
     assert token_files.read(spark, token_files.write(none, common.scratch(spark, "t"), WORD)).collect() == []
