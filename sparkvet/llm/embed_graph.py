@@ -1,12 +1,15 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors are one class. Classes go to the shards of their `overlap` nearest centroids. Each shard links every class to near and
-to spread-out others, pruned so that no kept neighbour is shadowed by a closer one; the adjacency lists of a class are
-united over its shards. Then every class is searched for in each of its shards: greedily from the shard's medoids and its own place with a beam,
-and as long as hits turn up, from each hit on. Hits are verified in double precision. A pair of classes counts in the first shard that
-holds both, so links are added up without listing pairs; a shard passes on one edge a class for the components. Rows that hits join are a neighbourhood of the shard, all
-of whose pairs are verified, which also counts links that the graph passed by.
-An audit compares a bounded set of queries with all classes, and the overlap grows until its recall is reached.
+Equal vectors are one class. Classes go to the shards of their `overlap` nearest centroids. In each shard candidates for the neighbours
+of a class come from small overlapping groups around sub-centroids and from all over the shard; they are pruned so that no kept
+neighbour is shadowed by a closer one, and the adjacency lists of a class are united over its shards. Then every class is searched for in each
+of its shards: greedily with a beam, from the medoids of the shard's groups that are nearest to it, and from each hit on as long as
+hits turn up. What the search meets is verified in double precision. A pair of classes counts in the first shard that holds both, so links are
+added up without listing pairs; a shard passes on one edge a class for the components.
+
+An audit compares one class in `audit` (by hash, so more of them in larger tables) with all classes by brute force, in blocks, and counts which
+of their links the search has found, each pair of classes once whatever its copies. The overlap grows until the recall is reached; if
+it isn't when each class is in every shard, that is an error.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different lengths don't
 link; repeated rows are vectors of their own; a null vec_id never names a component unless nothing else can;
@@ -15,12 +18,14 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
@@ -31,16 +36,18 @@ class Settings:
     threshold: float = 0.95
     overlap: int = 4  # shards of a class
     shard_rows: int = 1024  # classes a centroid, before overlapping
-    most_rows: int = 8192  # larger shards are cut by centroids of their own
-    sample: int = 16384  # classes that centroids are fitted on
+    most_rows: int = 8192  # larger shards are cut by centroids of their own, again and again
+    sample: int = 16384  # classes that centroids are fitted on, for the first level and for all cuts of one round
+    group_rows: int = 48  # rows a sub-centroid, before overlapping
+    groups: int = 3  # groups of a row
     degree: int = 16  # kept neighbours a shard
-    near: int = 32  # nearest candidates
+    near: int = 32  # nearest candidates a group
     spread: int = 16  # candidates from all over the shard
     alpha: float = 1.2
-    beam: int = 16
+    beam: int = 24
     slack: float = 0.03  # hits within this of the threshold are expanded too
-    expansions: int = 24  # hits that a query expands
-    audit: int = 512  # queries of the audit
+    audit: int = 50  # one class in so many is a query of the audit
+    audit_block: int = 4096  # queries that are held at once
     recall: float = 0.97
 
 
@@ -76,21 +83,33 @@ def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
 
 
 class Shards:
-    """Centroids of the first level, and of the cut shards."""
+    """Centroids of the first level and of cut shards, which may be cut again."""
+
+    def __init__(self, first: np.ndarray):
+        self.first, self.cut = first, {}
+        self.numbers = len(first)
 
-    def __init__(self, first: np.ndarray, cut: dict[int, tuple[int, np.ndarray]] | None = None):
-        self.first, self.cut = first, cut or {}
+    def split(self, shard: int, centroids_: np.ndarray) -> None:
+        self.cut[shard] = (self.numbers, centroids_)
+        self.numbers += len(centroids_)
 
     def of(self, x: np.ndarray, overlap: int) -> list[list[int]]:
         """Ascending shard numbers of each row."""
-        top = nearest(x, self.first, overlap)
-        out = [sorted(row) for row in top.tolist()]
-        for shard, (base, c) in self.cut.items():
-            inside = np.flatnonzero((top == shard).any(1))
-            if len(inside):
-                for i, subs in zip(inside.tolist(), nearest(x[inside], c, overlap).tolist(), strict=True):
-                    out[i] = sorted([s for s in out[i] if s != shard] + [base + s for s in subs])
-        return out
+        out = [set(row) for row in nearest(x, self.first, overlap).tolist()]
+        inside: dict[int, list[int]] = {}
+        for i, shards in enumerate(out):
+            for t in shards & self.cut.keys():
+                inside.setdefault(t, []).append(i)
+        while inside:
+            shard, rows = inside.popitem()
+            base, c = self.cut[shard]
+            for i, subs in zip(rows, nearest(x[rows], c, overlap).tolist(), strict=True):
+                out[i].discard(shard)
+                for t in {base + k for k in subs}:
+                    out[i].add(t)
+                    if t in self.cut:
+                        inside.setdefault(t, []).append(i)
+        return [sorted(s) for s in out]
 
 
 def robust_prune(x: np.ndarray, candidates: np.ndarray, s: Settings) -> np.ndarray:
@@ -116,19 +135,45 @@ def robust_prune(x: np.ndarray, candidates: np.ndarray, s: Settings) -> np.ndarr
     return kept
 
 
+def groups(x: np.ndarray, s: Settings) -> list[np.ndarray]:
+    """Overlapping groups of about group_rows * groups rows; those of crowded sub-centroids are cut in order of a projection, so none holds more than twice that."""
+    m = len(x)
+    k = max(1, m // s.group_rows)
+    c = centroids(x[np.linspace(0, m - 1, min(m, 8 * k)).astype(int)], k, 4)
+    own = nearest(x, c, s.groups)
+    row, group = np.repeat(np.arange(m), own.shape[1]), own.ravel()
+    order = np.argsort(group, kind="stable")
+    row, group = row[order], group[order]
+    most, out = 2 * s.group_rows * s.groups, []
+    for members in np.split(row, np.flatnonzero(np.diff(group)) + 1):
+        if len(members) > most:
+            members = members[np.argsort(x[members] @ x[members[len(out) % len(members)]], kind="stable")]
+        out += [members[a : a + most] for a in range(0, len(members), most // 2) if a == 0 or a + most // 2 < len(members)]
+    return out
+
+
 def build(x: np.ndarray, s: Settings) -> np.ndarray:
     """Pruned neighbours of each row of one shard."""
     m = len(x)
-    near = min(s.near, m - 1)
-    if near < 1:
+    if m < 2:
         return np.full((m, s.degree), -1, np.int64)
-    top = np.empty((m, near), np.int64)
-    for a in range(0, m, 1024):
-        sims = x[a : a + 1024] @ x.T
-        sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
-        top[a : a + 1024] = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+    found: list[list[np.ndarray]] = [[] for _ in range(m)]
+    for members in groups(x, s):
+        if len(members) < 2:
+            continue
+        sims = x[members] @ x[members].T
+        near = min(s.near, len(members) - 1)
+        top = np.argpartition(-sims, near, axis=1)[:, : near + 1]
+        for i, picks in zip(members.tolist(), members[top], strict=True):
+            found[i].append(picks)
     far = (np.arange(m)[:, None] + (np.arange(1, s.spread + 1) * max(1, m // (s.spread + 1)))[None, :]) % m
-    return robust_prune(x, np.concatenate([top, far], 1), s)
+    width = max(sum(map(len, f)) for f in found)
+    candidates = np.full((m, width), -1, np.int64)
+    for i, f in enumerate(found):
+        if f:
+            picks = np.unique(np.concatenate(f))
+            candidates[i, : len(picks)] = picks
+    return robust_prune(x, np.concatenate([candidates, far], 1), s)
 
 
 def undirected(neighbours: list[np.ndarray], m: int, most: int) -> np.ndarray:
@@ -150,101 +195,114 @@ def undirected(neighbours: list[np.ndarray], m: int, most: int) -> np.ndarray:
     return out
 
 
-def medoids(x: np.ndarray, n: int = 4) -> np.ndarray:
-    """The row nearest the mean, and rows each farthest from those before."""
-    mean = x.mean(0)
-    out = [int(np.argmax(x @ mean))]
-    closest = x @ x[out[0]]
-    while len(out) < min(n, len(x)):
-        out.append(int(np.argmin(closest)))
-        closest = np.maximum(closest, x @ x[out[-1]])
-    return np.array(out)
+def medoid(x: np.ndarray, members: np.ndarray) -> int:
+    """The member nearest to the mean of a group."""
+    return int(members[np.argmax(x[members] @ x[members].mean(0))])
+
 
+def range_search(x: np.ndarray, adjacency: np.ndarray, s: Settings, block: int = 512):
+    """For each block of rows as queries: (first row, hits as a boolean matrix of similarities of at least threshold - slack).
 
-def range_search(x: np.ndarray, adjacency: np.ndarray, s: Settings, block: int = 1024) -> np.ndarray:
-    """Boolean (m, m): hits of each row as a query with a similarity of at least threshold - slack."""
-    m, floor = len(x), s.threshold - s.slack
-    found = np.zeros((m, m), bool)
-    entry = medoids(x)
+    A query enters at the medoids of the groups that it falls into; a medoid has its whole group as neighbours. From there the search is greedy
+    along the pruned lists with a beam, and then goes on from every hit.
+    """
+    m, floor = len(x), np.float32(s.threshold - s.slack)
+    found = groups(x, s)
+    entry = np.array([medoid(x, g) for g in found])
+    row, group = np.concatenate(found), np.repeat(np.arange(len(found)), list(map(len, found)))
+    order = np.argsort(row, kind="stable")
+    row, group = row[order], group[order]
     for a in range(0, m, block):
         q = x[a : a + block]
         n = len(q)
-        rows = np.arange(n)
-        seen, expanded = np.zeros((n, m), bool), np.zeros((n, m), bool)
-        hits = found[a : a + n]
+        seen, expanded, hits = (np.zeros((n, m), bool) for _ in range(3))
         beam_ids = np.full((n, s.beam), -1, np.int64)
         beam_sims = np.full((n, s.beam), -2.0, x.dtype)
 
-        def meet(active: np.ndarray, ids: np.ndarray) -> None:
-            """Looks at ids (one row a query of active, -1 for none)."""
-            fresh = (ids >= 0) & ~seen[active[:, None], np.maximum(ids, 0)]
-            ids = np.where(fresh, ids, -1)
-            sims = np.einsum("qcd,qd->qc", x[np.maximum(ids, 0)], q[active])
-            sims[ids < 0] = -2
-            where, slot = np.nonzero(ids >= 0)
-            seen[active[where], ids[where, slot]] = True
-            where, slot = np.nonzero(sims >= floor)
-            hits[active[where], ids[where, slot]] = True
-            all_ids = np.concatenate([beam_ids[active], ids], 1)
-            all_sims = np.concatenate([beam_sims[active], sims], 1)
-            top = np.argpartition(-all_sims, s.beam - 1, axis=1)[:, : s.beam]
-            beam_ids[active], beam_sims[active] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1)
-
-        meet(rows, np.concatenate([np.broadcast_to(entry, (n, len(entry))), np.arange(a, a + n)[:, None]], 1))  # a query stands in the graph itself
-        active = rows
+        def meet(who: np.ndarray, what: np.ndarray, beam: bool) -> None:
+            """Query who[i] looks at row what[i]."""
+            pairs = np.unique(who * m + what)
+            who, what = pairs // m, pairs % m
+            fresh = ~seen[who, what]
+            who, what = who[fresh], what[fresh]
+            seen[who, what] = True
+            sims = np.einsum("qd,qd->q", x[what], q[who])
+            hit = sims >= floor
+            hits[who[hit], what[hit]] = True
+            if beam and len(who):
+                active, row_ = np.unique(who, return_inverse=True)
+                slot = np.arange(len(who)) - np.searchsorted(who, who)
+                ids, near = np.full((len(active), slot.max() + 1), -1, np.int64), np.full((len(active), slot.max() + 1), -2.0, x.dtype)
+                ids[row_, slot], near[row_, slot] = what, sims
+                all_ids, all_sims = np.concatenate([beam_ids[active], ids], 1), np.concatenate([beam_sims[active], near], 1)
+                top = np.argpartition(-all_sims, s.beam - 1, axis=1)[:, : s.beam]
+                beam_ids[active], beam_sims[active] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1)
+
+        def step(who: np.ndarray, nodes: np.ndarray, beam: bool) -> None:
+            """Query who[i] goes on from the node nodes[i]."""
+            expanded[who, nodes] = True
+            where, slot = np.nonzero(adjacency[nodes] >= 0)
+            meet(who[where], adjacency[nodes[where], slot], beam)
+
+        lo, hi = np.searchsorted(row, [a, a + n])
+        who, into = row[lo:hi] - a, group[lo:hi]
+        meet(who, entry[into], True)
+        size = np.array([len(found[g]) for g in into])
+        meet(np.repeat(who, size), np.concatenate([found[g] for g in into]), True)
+        active = np.arange(n)
         while len(active):  # the best of the beam that has not been expanded, until there is none
             ids = beam_ids[active]
             open_ = np.where((ids >= 0) & ~expanded[active[:, None], np.maximum(ids, 0)], beam_sims[active], -3)
             pick = np.argmax(open_, axis=1)
             go = open_[np.arange(len(active)), pick] > -3
             active = active[go]
-            if len(active):
-                node = ids[go][np.arange(len(active)), pick[go]]
-                expanded[active, node] = True
-                meet(active, adjacency[node])
-        for _ in range(s.expansions):  # hits are expanded too; what this leaves out, the verification of whole neighbourhoods finds
-            open_ = hits & ~expanded
-            active = np.flatnonzero(open_.any(1))
-            if not len(active):
+            step(active, ids[go][np.arange(len(active)), pick[go]], True)
+        while True:  # every hit is expanded, up to eight of a query at a time
+            who, what = np.nonzero(hits & ~expanded)
+            if not len(who):
                 break
-            node = np.argmax(open_[active], axis=1)
-            expanded[active, node] = True
-            meet(active, adjacency[node])
-    return found
+            some = np.arange(len(who)) - np.searchsorted(who, who) < 8
+            step(who[some], what[some], False)
+        yield a, hits
 
 
-def shard_links(x: np.ndarray, adjacency: np.ndarray, copies: np.ndarray, members: list[list[int]], shard: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each row that count in this shard, least row linked to it by any path)."""
+def shard_links(x: np.ndarray, adjacency: np.ndarray, copies: np.ndarray, members: list[list[int]], shard: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links in copies, linked rows, least row linked to it by any path) of each row; the first two count pairs whose first common shard this is."""
     m = len(x)
-    a, b = np.nonzero(range_search(x.astype(np.float32), adjacency, s))
-    a, b = a[a != b], b[a != b]
-    near = _least_label(a, b, m)  # neighbourhoods: rows joined by hits, those within the slack included
-    order = np.argsort(near, kind="stable")
-    inside: dict[int, np.ndarray] = {}
+    earlier: dict[int, list[int]] = {}
     for i, shards in enumerate(members):
         for t in shards:
             if t < shard:
-                inside.setdefault(t, np.zeros(m, bool))[i] = True
-    total, root = np.zeros(m), np.arange(m)
-    for group in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
-        if len(group) < 2:
-            continue
-        masks = [w[group] for w in inside.values()]
-        masks = [w for w in masks if w.sum() > 1]
-        pairs = []
-        for at in range(0, len(group), 1024):  # every pair of a neighbourhood is verified in double precision
-            hit = x[group[at : at + 1024]] @ x[group].T >= s.threshold
-            hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
-            p, q = np.nonzero(hit)
-            tree = _least_label(p + at, q, len(group))
-            p = np.flatnonzero(tree != np.arange(len(group)))
-            pairs.append((p, tree[p]))
-            for w in masks:
-                hit[w[at : at + 1024]] &= ~w
-            total[group[at : at + 1024]] += hit @ copies[group]
-        p, q = (np.concatenate(c) for c in zip(*pairs, strict=True))
-        root[group] = group[_least_label(p, q, len(group))]
-    return total, root
+                earlier.setdefault(t, []).append(i)
+    masks = np.zeros((len(earlier), m), bool)
+    for k, rows in enumerate(earlier.values()):
+        masks[k, rows] = True
+    masks = masks[masks.sum(1) > 1]
+    true = np.zeros((m, m), bool)
+    for at, hits in range_search(x.astype(np.float32), adjacency, s):
+        a, b = np.nonzero(hits)
+        for c in range(0, len(a), 1 << 16):  # verified in double precision
+            p, q = a[c : c + (1 << 16)] + at, b[c : c + (1 << 16)]
+            kept = np.einsum("pd,pd->p", x[p], x[q]) >= s.threshold
+            true[p[kept], q[kept]] = True
+    np.fill_diagonal(true, False)
+    total, linked, root = np.zeros(m), np.zeros(m, np.int64), np.arange(m)
+    for at in range(0, m, 512):
+        a, b = np.nonzero(true[at : at + 512] | true[:, at : at + 512].T)  # either of two found the other
+        a += at
+        root = _join(root, a, b)
+        for c in range(0, len(a), 1 << 16):
+            p, q = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
+            own = ~(masks[:, p] & masks[:, q]).any(0)
+            total += np.bincount(p[own], copies[q[own]], m)
+            linked += np.bincount(p[own], minlength=m)
+    return total, linked, root
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least rows after joining the pairs; root names the least row of each row's group so far."""
+    label = _least_label(root[a], root[b], len(root))
+    return label[root]
 
 
 def _least_label(a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
@@ -282,8 +340,9 @@ def _vectors(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
 
 
-def _members(classes: DataFrame, shards: Shards, overlap: int) -> DataFrame:
-    """shard, cid, n, shards, x (unit vector, float64 bytes): a row for each class and shard."""
+def _fan_out(classes: DataFrame, shards: Shards, overlap: int, kept: list[str], narrow: bool = False) -> DataFrame:
+    """shard, shards, x and the columns `kept`: a row for each class and shard. narrow: x as float32."""
+    schema = classes.select(kept).schema.add("shard", "integer").add("shards", T.ArrayType(T.IntegerType())).add("x", "binary")
 
     def run(batches):
         for batch in batches:
@@ -292,44 +351,53 @@ def _members(classes: DataFrame, shards: Shards, overlap: int) -> DataFrame:
             x = _vectors(batch.column("x").to_pylist())
             of = shards.of(x, overlap)
             rows = np.repeat(np.arange(len(of)), [len(o) for o in of])
-            taken = batch.take(pa.array(rows))
-            yield pa.record_batch([pa.array([t for o in of for t in o], pa.int32()), taken.column("cid"), taken.column("n"), pa.array([of[i] for i in rows.tolist()], pa.list_(pa.int32())), taken.column("x")], ["shard", "cid", "n", "shards", "x"])
-
-    return classes.select("cid", "n", "x").mapInArrow(run, "shard int, cid long, n long, shards array<int>, x binary")
-
-
-def _fit_shards(classes: DataFrame, total: int, s: Settings) -> Shards:
-    sample = lambda df: unit(_vectors([bytes(r[0]) for r in df.orderBy("cid").limit(s.sample).select("x").collect()]))  # noqa: E731  cid is a hash
-    x = sample(classes)
-    k = max(1, min(-(-total // s.shard_rows), len(x) // 8))
-    shards = Shards(centroids(x, k))
-    members = _members(classes, shards, s.overlap)
-    large = members.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > s.most_rows).orderBy("shard").collect()  # fewer rows than centroids
-    base = k
-    for shard, n in large:
-        x = sample(members.where(F.col("shard") == shard))
-        c = centroids(x, max(2, min(-(-n * s.overlap // s.most_rows), len(x) // 4)))
-        shards.cut[shard] = (base, c)
-        base += len(c)
+            data = pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary()) if narrow else batch.column("x")
+            numbers, lists = np.array([t for o in of for t in o], np.int32), pa.array(of, pa.list_(pa.int32()))
+            for a in range(0, len(rows), 4096):
+                some = pa.array(rows[a : a + 4096])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(some) for c in kept), pa.array(numbers[a : a + 4096]), lists.take(some), data.take(some)], names=schema.names)
+
+    return classes.select(*kept, "x").mapInArrow(run, schema)
+
+
+def _fit_shards(classes: DataFrame, total: int, s: Settings, most_rounds: int = 8) -> Shards:
+    """Centroids fitted on a bounded sample; shards of over most_rows classes are cut, all of a round on one sample, until none is left."""
+    sample = lambda df, n: [(r[0], bytes(r[1])) for r in df.orderBy("cid").limit(n).select("shard", "x").collect()]  # noqa: E731  cid is a hash
+    x = _vectors([v for _, v in sample(classes.withColumn("shard", F.lit(0)), s.sample)])
+    shards = Shards(centroids(x, max(1, min(-(-total // s.shard_rows), len(x) // 8))))
+    for _ in range(most_rounds):
+        sizes = _fan_out(classes, shards, s.overlap, ["cid"]).groupBy("shard").agg(F.count("*").alias("n"))
+        large = {r["shard"]: r["n"] for r in sizes.where(F.col("n") > s.most_rows).collect()}  # fewer than shards
+        if not large:
+            return shards
+        each = max(64, s.sample // len(large))
+        members = _fan_out(classes, shards, s.overlap, ["cid"]).where(F.col("shard").isin(list(large)))
+        first = Window.partitionBy("shard", "part").orderBy("cid")
+        parts = members.withColumn("part", F.pmod("cid", F.lit(16))).withColumn("i", F.row_number().over(first)).where(F.col("i") <= -(-each // 16))
+        by_shard: dict[int, list[bytes]] = {}
+        for r in parts.select("shard", "x").collect():  # about `sample` rows
+            by_shard.setdefault(r["shard"], []).append(bytes(r["x"]))
+        for shard, n in sorted(large.items()):
+            own = _vectors(by_shard[shard])
+            shards.split(shard, centroids(own, max(2, min(-(-n * s.overlap // s.most_rows), len(own) // 4))))
     return shards
 
 
 def _search(classes: DataFrame, shards: Shards, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(cid, links in copies) and edges (a, b), by way of the graph."""
+    """(cid, links in copies, linked classes) and edges (a, b), by way of the graph."""
     spark = classes.sparkSession
     n = 4 * common.partitions(spark)
-    members = common.materialize(_members(classes, shards, s.overlap), "members")
-    dealt = members.repartition(n, "shard").sortWithinPartitions("shard", "cid")
+    narrow = _fan_out(classes, shards, s.overlap, ["cid"], narrow=True).select("shard", "cid", "x").repartition(n, "shard").sortWithinPartitions("shard", "cid")
 
     def lists(batches):
         for _, rows in _blocks(batches, "shard"):
-            x = _vectors([r["x"] for r in rows]).astype(np.float32)
+            x = np.frombuffer(b"".join([r["x"] for r in rows]), np.float32).reshape(len(rows), -1)
             cid = np.array([r["cid"] for r in rows])
-            kept = build(x, s)
-            yield pa.record_batch([pa.array(cid), pa.array([cid[k[k >= 0]] for k in kept], pa.list_(pa.int64()))], ["cid", "neighbours"])
+            yield pa.record_batch([pa.array(cid), pa.array([cid[k[k >= 0]] for k in build(x, s)], pa.list_(pa.int64()))], ["cid", "neighbours"])
 
-    united = dealt.mapInArrow(lists, "cid long, neighbours array<long>").groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # a list a shard of the class
-    graph = members.join(united, "cid", "left").repartition(n, "shard").sortWithinPartitions("shard", "cid")
+    united = narrow.mapInArrow(lists, "cid long, neighbours array<long>").groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))  # a list a shard of the class
+    listed = classes.join(united, "cid", "left").select("cid", "n", "x", "neighbours")
+    graph = _fan_out(listed, shards, s.overlap, ["cid", "n", "neighbours"]).repartition(n, "shard").sortWithinPartitions("shard", "cid")
 
     def search(batches):
         for shard, rows in _blocks(batches, "shard"):
@@ -341,15 +409,15 @@ def _search(classes: DataFrame, shards: Shards, s: Settings) -> tuple[DataFrame,
                 want = np.array(r["neighbours"] or [], np.int64)
                 at = np.minimum(np.searchsorted(cid, want), len(cid) - 1)
                 own.append(at[cid[at] == want])
-            links, root = shard_links(x, undirected(own, len(x), 3 * s.degree), copies, [r["shards"] for r in rows], shard, s)
-            yield pa.record_batch([pa.array(cid), pa.array(links.astype(np.int64)), pa.array(cid[root])], ["cid", "links", "root"])
+            links, linked, root = shard_links(x, undirected(own, len(x), 3 * s.degree), copies, [r["shards"] for r in rows], shard, s)
+            yield pa.record_batch([pa.array(cid), pa.array(links.astype(np.int64)), pa.array(linked), pa.array(cid[root])], ["cid", "links", "linked", "root"])
 
-    found = common.materialize(graph.select("shard", "cid", "n", "shards", "x", "neighbours").mapInArrow(search, "cid long, links long, root long"), "found")
-    return found.groupBy("cid").agg(F.sum("links").alias("links")), found.where("cid != root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
+    found = common.materialize(graph.mapInArrow(search, "cid long, links long, linked long, root long"), "found")
+    return found.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked")), found.where("cid != root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
 
 
-def true_links(classes: DataFrame, queries: list[tuple[int, bytes]], threshold: float) -> dict[int, int]:
-    """Links of each query (cid, unit vector) with all other classes, in copies, by brute force in blocks."""
+def true_links(classes: DataFrame, queries: list[tuple[int, bytes]], threshold: float) -> DataFrame:
+    """cid, true: how many other classes each query (cid, unit vector) links with, by brute force."""
     q, cids = _vectors([x for _, x in queries]), np.array([c for c, _ in queries])
 
     def run(batches):
@@ -357,26 +425,39 @@ def true_links(classes: DataFrame, queries: list[tuple[int, bytes]], threshold:
         for batch in batches:
             if batch.num_rows:
                 hit = q @ _vectors(batch.column("x").to_pylist()).T >= threshold
-                hit &= cids[:, None] != batch.column("cid").to_numpy()[None, :]
-                total += hit @ batch.column("n").to_numpy()
-        yield pa.record_batch([pa.array(cids), pa.array(total)], ["cid", "links"])
+                total += (hit & (cids[:, None] != batch.column("cid").to_numpy()[None, :])).sum(1)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(cids[some]), pa.array(total[some])], ["cid", "true"])
+
+    return classes.select("cid", "x").mapInArrow(run, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
+
 
-    return dict(classes.select("cid", "n", "x").mapInArrow(run, "cid long, links long").groupBy("cid").agg(F.sum("links")).collect())
+def _audit(classes: DataFrame, s: Settings) -> DataFrame:
+    """cid, true of every query of the audit that links with anything; a pass over the classes for each block of queries."""
+    asked = common.materialize(classes.where(F.pmod(F.xxhash64("cid"), F.lit(s.audit)) == 0).select("cid", "x"), "queries")
+    blocks = max(1, -(-asked.count() // s.audit_block))
+    parts = []
+    for k in range(blocks):
+        queries = [(r[0], bytes(r[1])) for r in asked.where(F.pmod("cid", F.lit(blocks)) == k).collect()]  # about audit_block rows
+        if queries:
+            parts.append(common.materialize(true_links(classes, queries, s.threshold), "true"))
+    return reduce(DataFrame.union, parts) if parts else common.empty(classes.sparkSession, "cid long, true long")
 
 
-def _one_length(classes: DataFrame, total: int, s: Settings) -> tuple[DataFrame, DataFrame]:
+def _one_length(classes: DataFrame, total: int, s: Settings) -> tuple[DataFrame, DataFrame, float]:
     """Searches with growing overlap until the audit's recall is reached."""
-    queries = [(r[0], bytes(r[1])) for r in classes.orderBy(F.xxhash64("cid")).limit(s.audit).select("cid", "x").collect()]
-    true = true_links(classes, queries, s.threshold)
+    true = common.materialize(_audit(classes, s), "audit")
     while True:
         shards = _fit_shards(classes, total, s)
         links, edges = _search(classes, shards, s)
         links = common.materialize(links, "links")
-        got = dict(links.where(F.col("cid").isin([c for c, _ in queries])).collect())
-        reached = sum(min(got.get(c, 0), n) for c, n in true.items()) / max(1, sum(true.values()))
-        if not sum(true.values()) or reached >= s.recall or s.overlap >= len(shards.first):
-            return links, edges
-        s = Settings(**{**s.__dict__, "overlap": 2 * s.overlap})
+        wanted, got = true.join(links, "cid", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("linked", F.lit(0))))).first()
+        reached = got / wanted if wanted else 1.0
+        if reached >= s.recall:
+            return links, edges, reached
+        if s.overlap >= len(shards.first):
+            raise RuntimeError(f"the audit found {reached:.3f} of the links with each class in every shard, less than {s.recall}")
+        s = replace(s, overlap=2 * s.overlap)
 
 
 def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -396,7 +477,7 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings()) -> Data
     classes = common.materialize(grouped.select("cid", "n", "least", "e").mapInArrow(scaled, "cid long, n long, least long, length int, x binary"), "classes")
     links = edges = None
     for length, total in sorted(tuple(r) for r in classes.groupBy("length").agg(F.count("*")).collect()):  # a row a vector length
-        a, b = _one_length(classes.where(F.col("length") == length), total, settings)
+        a, b, _ = _one_length(classes.where(F.col("length") == length), total, settings)
         links, edges = (a, b) if links is None else (links.union(a), edges.union(b))
     if links is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
