@@ -64,7 +64,7 @@ def quality_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import rates
 
-    return rates(common.table(spark, sf_dir, "documents"), quality_domains(spark, sf_dir), QUALITY_TARGETS)
+    return rates(common.table(spark, sf_dir, "documents"), quality_domains(spark, sf_dir), QUALITY_TARGETS, tokenizer_path(BYTE_BPE))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

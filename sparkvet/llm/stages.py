@@ -1,4 +1,9 @@
-"""The stages of corpus_pipeline: (spark, docs, sf_dir) -> DataFrame. All but the last keep the columns of docs."""
+"""The stages of corpus_pipeline: (spark, docs, sf_dir) -> DataFrame. All but the last keep the columns of docs, whatever their names.
+
+Defined cases, for every stage: null text counts as empty; a null doc_id is a document like any other; of rows with the same doc_id and text the
+dedup stage keeps one, and the others treat each alike; an empty table gives an empty table; empty labels leave the
+first stage nothing to reject by and the third all rates of one domain.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +30,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents are repeated or dropped at the rates that bring the quality domains to their target shares of tokens."""
     from .mixing import mixed
 
-    return mixed(docs, queries.quality_domains(spark, sf_dir), queries.QUALITY_TARGETS)
+    return mixed(docs, queries.quality_domains(spark, sf_dir), queries.QUALITY_TARGETS, queries.tokenizer_path(queries.BYTE_BPE))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity scores of whole texts by the subword model of this folder.
 
-The model is fitted on a bounded sample of labelled rows: for each class the `per_class` rows that come first by a hash of
-doc_id, of texts up to `longest` bytes. Scores depend on the text alone.
+The model is fitted on a bounded sample of labelled rows: for each class the `per_class` documents that come first by a hash of
+doc_id, of those that are there with a text of up to `longest` bytes. Scores depend on the text alone.
 
 Defined cases: null text counts as empty and gets the score of the bias; a null doc_id is not held out; a null label is no label; a
 document labelled twice counts as toxic if any label says so; without labels of both classes every score is the share
@@ -25,15 +25,16 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, classes: int, per_class: int, longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts and labels of at most classes * per_class documents, and the classes' shares of all labels. labels: doc_id, label int."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_bytes(docs).alias("text")).where(F.octet_length("text") <= longest)
     one = labels.where(F.col("doc_id").isNotNull() & F.col("label").between(0, classes - 1)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     shares = np.zeros(classes)
     for label, n in one.groupBy("label").agg(F.count("*")).collect():  # a row a class
         shares[label] = n
+    there = common.materialize(one.join(texts.select("doc_id"), "doc_id", "left_semi"), "labels")  # those that can be learned from
     picked = None
     for k in range(classes):
-        some = one.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = there.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.union(some)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_bytes(docs).alias("text")).where(F.octet_length("text") <= longest)
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.int64), shares / max(1, shares.sum())
 

@@ -372,16 +372,44 @@ def test_toxicity(spark, docs, none):
 def test_mixing(spark, docs, none):
     d, labels = labelled(spark)
     domains = labels.select("doc_id", F.col("toxic").alias("label"))
-    out = mixing.rates(d, domains, [0.6, 0.4]).collect()
+    out = mixing.rates(d, domains, [0.6, 0.4], BYTE).collect()
     p, n, r = np.array([x["posterior"] for x in out]), np.array([x["tokens"] for x in out]), np.array([x["rate"] for x in out])
     assert np.allclose((r * n) @ p / n.sum(), [0.6, 0.4], atol=1e-4) and (r >= 0).all()
+    assert all(np.allclose(x["reached"], (r * n) @ p) and np.allclose(x["wanted"], n.sum() * np.array([0.6, 0.4])) and x["settled"] for x in out)
     assert all(x["copies"] in (math.floor(x["rate"]), math.floor(x["rate"]) + 1) for x in out)
-    table = spark.createDataFrame([(1, 10, [1.0, 0.0]), (2, 10, [0.0, 1.0]), (3, 0, [0.5, 0.5]), (4, 20, [0.9, 0.1])], "doc_id long, tokens long, posterior array<double>")
-    steps = mixing.fit_rates(table, [0.02, 0.98])
-    r = mixing.rate(np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5], [0.9, 0.1]]), steps)
-    assert (r >= 0).all() and r[0] == 0
-    assert mixing.mixed(d, domains, [0.6, 0.4]).columns == d.columns
-    assert mixing.rates(none, domains, [0.5, 0.5]).collect() == [] and len(mixing.rates(docs, domains, [0.5, 0.5]).collect()) == docs.count()
+    library = Tokenizer.from_file(BYTE)
+    true = {x["doc_id"]: len(library.encode(x["text"], add_special_tokens=False).ids) + 1 for x in d.collect()}
+    assert abs(sum(n) / sum(true.values()) - 1) < 0.02
+    kept = mixing.mixed(d, domains, [0.6, 0.4], BYTE)
+    assert kept.columns == d.columns and Counter(x["doc_id"] for x in kept.collect()) == {x["doc_id"]: x["copies"] for x in out if x["copies"]}
+    assert mixing.rates(none, domains, [0.5, 0.5], BYTE).collect() == [] and mixing.mixed(none, domains, [0.5, 0.5], BYTE).collect() == []
+    edge = mixing.rates(docs, domains, [0.5, 0.5], BYTE).collect()
+    assert len(edge) == docs.count() and all(x["rate"] >= 0 and x["tokens"] >= 1 for x in edge)
+    odd = spark.createDataFrame([(None, 1), (0, None), (4, 0), (4, 1), (999999, 1), (8, 7)], "doc_id long, label int")
+    assert len(mixing.rates(d, odd, [0.5, 0.5], BYTE).collect()) == d.count()
+
+
+def test_mixing_is_the_constrained_optimum(spark):
+    g = np.random.default_rng(3)
+    cases = [(np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5], [0.9, 0.1]]), [0.02, 0.98]), (np.array([[1.0, 0.0], [0.5, 0.5]]), [0.0, 1.0]), (g.dirichlet([0.5] * 3, 40), [0.5, 0.3, 0.2])]
+    for p, targets in cases:
+        n = g.integers(1, 30, len(p)).astype(float)
+        table = spark.createDataFrame([(float(a), b) for a, b in zip(n, p.tolist(), strict=True)], "tokens double, posterior array<double>")
+        fit = mixing.fit_rates(table, targets, most_steps=400, tolerance=1e-8)
+        r = mixing.rate(p, fit.steps)
+        gap = (r * n) @ p - np.array(targets) * n.sum()
+        gradient = p @ np.linalg.pinv((p * n[:, None]).T @ p, rcond=1e-9) @ gap
+        assert fit.settled and (r >= 0).all() and np.allclose(fit.reached, (r * n) @ p)
+        assert (np.abs(gradient[r > 1e-9]) < 1e-3).all() and (gradient[r <= 1e-9] > -1e-3).all()  # no rate could move and bring the targets nearer
+
+
+def test_large_rates_are_dealt_into_batches(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")
+    out = mixing.rates(rows, labels, [0.5, 0.5], BYTE).collect()
+    assert mixing.mixed(rows, labels, [0.5, 0.5], BYTE).count() == sum(x["copies"] for x in out)
+    ends = np.cumsum(mixing._copies(np.array([1000.0, 0.0, 2.5]), np.array([0.9, 0.9, 0.1])))
+    assert ends.tolist() == [1000, 1000, 1003]
 
 
 def test_token_counts(docs, none, rows):
