@@ -4,8 +4,10 @@ Candidates come from SimHash links of at most 2 bits and from bands of min-hashe
 similarity of 0.8, where cells of segments select too little. With 20 bands of 5 a pair at 0.8 shares a band with a chance of 0.9996,
 more similar ones with a higher one. Every candidate is verified on the whole sets, so no pair below the similarity links.
 
-Texts with the same set are one class. A first round holds each class against the least one of its bands, which links large groups
-with few pairs; a second one holds all pairs of a band that are still apart, so a band whose classes are one group by then needs
+Texts with the same set are one class. A first round holds each class against the one of its band that has most company in its own bands: the
+text that the others were copied from, if there is one, so large groups are linked with few pairs. A second one holds all pairs of a band that are still apart, so a band whose classes are one group by then needs
+nothing. Of these pairs only such are handed on whose sizes and parity sketches allow the similarity: a sketch has a bit for each of `WORDS` * 64 buckets of
+shingle hashes, set if an odd number of shingles falls into it, so two sketches never differ in more bits than the sets differ in shingles, and the filter loses
 nothing. A band of over `cell_rows` classes is cut by each other band: a pair at 0.8 shares a second one with a chance of 0.996. What
 is crowded even so is held against itself in blocks of `cell_rows` classes, so no class of it is left out.
 
@@ -15,10 +17,12 @@ null doc_id comes first; an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +33,7 @@ from .simhash import digests, first_rows, links, simhash
 BANDS, ROWS = 20, 5
 FACTORS = np.random.default_rng(42).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 BLOCK = 1024
+WORDS = 16  # 64-bit words of a parity sketch
 
 
 def shingle_set(found: np.ndarray) -> np.ndarray:
@@ -47,14 +52,20 @@ def bands(shingles: np.ndarray) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(joined[i * width : (i + 1) * width], i), "big", signed=True) for i in range(BANDS)]
 
 
+def parity_sketch(shingles: np.ndarray) -> list[int]:
+    """WORDS signed longs: a bit is set where an odd number of shingles falls into its bucket."""
+    odd = np.bincount((shingles % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
+
 def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, __th of docs with __set (hash of the shingle set), __n (its size), __fp (SimHash), __bands."""
+    """doc_id, __th of docs with __set (hash of the shingle set), __n (its size), __fp (SimHash), __bands, __sketch."""
     kept = docs.select("doc_id", "__th", common.text_bytes(docs).alias("__text"))
-    schema = kept.drop("__text").schema.add("__set", "long").add("__n", "integer").add("__fp", "long").add("__bands", T.ArrayType(T.LongType()))
+    schema = kept.drop("__text").schema.add("__set", "long").add("__n", "integer").add("__fp", "long").add("__bands", T.ArrayType(T.LongType())).add("__sketch", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
-            sets, sizes, fps, cells = [], [], [], []
+            sets, sizes, fps, cells, sketches = [], [], [], [], []
             for text in batch.column(2):
                 found = digests(text.as_py(), words)
                 shingles = shingle_set(found)
@@ -62,8 +73,9 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(shingles))
                 fps.append(simhash(found))
                 cells.append(bands(shingles))
-            made = [pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "__th", "__set", "__n", "__fp", "__bands"])
+                sketches.append(parity_sketch(shingles))
+            made = [pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc_id", "__th", "__set", "__n", "__fp", "__bands", "__sketch"])
 
     return kept.mapInArrow(run, schema)
 
@@ -113,15 +125,24 @@ def _near(classes: DataFrame) -> DataFrame:
     return equal.union(edges.select("xa", "xb"))
 
 
-def _apart(members: DataFrame, keys: list[str], fits) -> DataFrame:
-    """Pairs (a, b) of a cell whose classes are in different groups so far and whose sizes allow the similarity."""
+def _apart(members: DataFrame, keys: list[str], sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a cell whose classes are in different groups so far and whose sizes and sketches allow the similarity. sketches: __set, __sketch."""
+    words = [F.col("__sketch")[i].alias(f"w{i}") for i in range(WORDS)]
+    members = members.join(sketches.select("__set", *words), "__set")
     a, b = members.alias("a"), members.alias("b")
-    met = (F.col("a.__set") > F.col("b.__set")) & (F.col("a.root") != F.col("b.root")) & fits(F.col("a.__n"), F.col("b.__n"))
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(WORDS)])
+    met = (F.col("a.__set") > F.col("b.__set")) & (F.col("a.root") != F.col("b.root")) & _fits(F.col("a.__n"), F.col("b.__n"), similarity)
+    met = met & (differing <= (F.col("a.__n") + F.col("b.__n")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
     for k in keys:
         met = met & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     return a.join(b, met).select(F.col("a.__set").alias("a"), F.col("b.__set").alias("b"))
 
 
+def _fits(m: Column, n: Column, similarity: float) -> Column:
+    """Sets of m and n shingles can have the similarity."""
+    return F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9
+
+
 def _open_cells(members: DataFrame, keys: list[str], cell_rows: int) -> tuple[DataFrame, DataFrame]:
     """members (__set, __n, root, keys) of cells that hold several groups: those of at most cell_rows classes, and the others with the cell's size, rows."""
     sizes = members.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(*keys, "rows")
@@ -139,21 +160,23 @@ def _blocks(members: DataFrame, keys: list[str], cell_rows: int) -> DataFrame:
 
 def similar_classes(docs: DataFrame, found: DataFrame, words: int, similarity: float, cell_rows: int = 256) -> DataFrame:
     """__set, component_root (least __set that verified pairs reach) of each class of found."""
-    classes = common.materialize(found.groupBy("__set").agg(F.first("__n").alias("__n"), F.first("__fp").alias("__fp"), F.first("__bands").alias("__bands")), "classes")
-    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    cells = classes.select(F.struct("__set", "__n").alias("x"), "__bands", F.explode("__bands").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("rows"), F.min("x").alias("lead")).where("rows > 1").select("cell", "lead")
-    members = common.materialize(cells.join(sizes, "cell").select("x.__set", "x.__n", "__bands", "cell", "lead"), "members")
-    stars = members.where(F.col("__set") != F.col("lead.__set")).select(F.struct("__set", "__n").alias("a"), F.col("lead").alias("b")).union(_near(classes.select("__set", "__n", "__fp")))
-    stars = stars.where(fits(F.col("a.__n"), F.col("b.__n"))).select(F.col("a.__set").alias("a"), F.col("b.__set").alias("b")).distinct()
+    classes = common.materialize(found.groupBy("__set").agg(F.first("__n").alias("__n"), F.first("__fp").alias("__fp"), F.first("__bands").alias("__bands"), F.first("__sketch").alias("__sketch")), "classes")
+    sketches = classes.select("__set", "__sketch")
+    cells = classes.select("__set", "__n", F.explode("__bands").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1")
+    met = cells.join(sizes, "cell").groupBy("__set").agg(F.first("__n").alias("__n"), F.sum("rows").alias("company"), F.collect_list("cell").alias("cells"))  # a row a band of a class
+    members = common.materialize(met.select("__set", "__n", "company", "cells", F.explode("cells").alias("cell")), "members")
+    leads = members.groupBy("cell").agg(F.max(F.struct("company", F.struct("__set", "__n").alias("x"))).alias("lead")).select("cell", F.col("lead.x").alias("lead"))
+    stars = members.join(leads, "cell").where(F.col("__set") != F.col("lead.__set")).select(F.struct("__set", "__n").alias("a"), F.col("lead").alias("b")).union(_near(classes.select("__set", "__n", "__fp")))
+    stars = stars.where(_fits(F.col("a.__n"), F.col("b.__n"), similarity)).select(F.col("a.__set").alias("a"), F.col("b.__set").alias("b")).distinct()
     first = _verified(docs, found, stars, words, similarity)
     roots = components(first).select(F.col("node").alias("__set"), "root")
-    placed = members.drop("lead").join(roots, "__set", "left").withColumn("root", F.coalesce("root", "__set"))
+    placed = members.join(roots, "__set", "left").select("__set", "__n", "cells", "cell", F.coalesce("root", "__set").alias("root"))
     few, many = _open_cells(placed, ["cell"], cell_rows)
-    finer = many.select("__set", "__n", "root", "cell", F.explode(F.array_except("__bands", F.array("cell"))).alias("second"))
+    finer = many.select("__set", "__n", "root", "cell", F.explode(F.array_except("cells", F.array("cell"))).alias("second"))
     finer = finer.select("__set", "__n", "root", F.least("cell", "second").alias("cell"), F.greatest("cell", "second").alias("second")).distinct()  # both bands may be crowded
     fine, crowded = _open_cells(finer, ["cell", "second"], cell_rows)
-    pairs = _apart(few, ["cell"], fits).union(_apart(fine, ["cell", "second"], fits)).union(_apart(_blocks(crowded, ["cell", "second"], cell_rows), ["cell", "second", "x", "y"], fits))
+    pairs = _apart(few, ["cell"], sketches, similarity).union(_apart(fine, ["cell", "second"], sketches, similarity)).union(_apart(_blocks(crowded, ["cell", "second"], cell_rows), ["cell", "second", "x", "y"], sketches, similarity))
     both = first.union(_verified(docs, found, pairs.distinct(), words, similarity))
     roots = components(both).select(F.col("node").alias("__set"), "root")
     return classes.select("__set").join(roots, "__set", "left").select("__set", F.coalesce("root", "__set").alias("component_root"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from sparkvet.llm import similar, stages
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -22,6 +24,15 @@ def groups(texts):
     return root
 
 
+def test_sketches_bound_the_difference():
+    g = np.random.default_rng(1)
+    for n in (0, 3, 100, 5000):
+        a = np.unique(g.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], g.integers(0, 1 << 64, n // 3, np.uint64)]))
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(similar.parity_sketch(a), similar.parity_sketch(b), strict=True))
+        assert bits <= len(np.setxor1d(a, b)) and (n != 100 or bits > 0.8 * len(np.setxor1d(a, b)))
+
+
 def test_near_copies(spark):
     r = random.Random(4)
     texts = [None, "", " ", "one", "ONE", "one two", "a b c d e"]
