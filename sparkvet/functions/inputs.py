@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -11,21 +12,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARSED = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "name", "version", "owner", "repo", "ref_path", "error_code")])
+#: Fixed value: characters of a request.
+LONGEST = 2048
 NPM = r"(?:@[a-z0-9~][a-z0-9._~-]*/)?[a-z0-9~][a-z0-9._~-]*"
 PYPI = r"[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?"
 
 
 def parse(text: str | None) -> dict[str, str | None]:
     out: dict[str, str | None] = dict.fromkeys(PARSED.names)
-    text = (text or "").strip()
+    text = (text or "").strip(" \t\r\n")
 
     def failed(code: str) -> dict[str, str | None]:
         return out | {"error_code": code}
 
     if not text:
         return failed("empty")
-    if len(text) > 500:
+    if len(text) > LONGEST:
         return failed("too_long")
+    if any(unicodedata.category(c) in ("Cc", "Cf") for c in text):
+        return failed("control_character")
     words = text.split()
     if words[0] == "npx":
         rest = [w for w in words[1:] if w not in ("-y", "--yes")]
@@ -41,8 +46,11 @@ def parse(text: str | None) -> dict[str, str | None]:
         return out | {"kind": "pypi", "name": normal_name(found[1]), "version": found[2] if found[2] != "latest" else None} if found else failed("bad_uvx")
     if len(words) > 1:
         return failed("not_understood")
-    parts = urlsplit(text if "://" in text else f"https://{text}")
-    if parts.scheme not in ("http", "https") or (parts.hostname or "").removeprefix("www.") != "github.com":
+    try:
+        parts = urlsplit(text if "://" in text else f"https://{text}")
+    except ValueError:
+        return failed("not_understood")
+    if parts.scheme != "https" or (parts.hostname or "").removeprefix("www.") != "github.com":
         return failed("unsupported_host" if parts.hostname and "." in parts.hostname else "not_understood")
     path = [p for p in parts.path.split("/") if p]
     if len(path) < 2:

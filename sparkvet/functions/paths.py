@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEST_FOLDERS = ["test", "tests", "__tests__", "testing", "spec", "specs", "e2e", "example", "examples", "demo", "demos", "sample", "samples", "fixtures", "benchmark", "benchmarks"]
-BUILD_FOLDERS = ["scripts", "script", "tools", "build", "ci", ".github"]
-IGNORED_FOLDERS = ["node_modules", ".git", "__pycache__", ".venv", "venv", "dist-info", ".tox", ".mypy_cache"]
+#: Folders and files by their role.
+TEST_FOLDERS = ["tests", "test", "__tests__", "__mocks__", "examples", "example", "docs", "doc", "e2e", "spec", "snapshot-tests", "snapshot_tests", "smoke-tests", "smoke_tests", "benchmarks"]
+BUILD_FOLDERS = ["scripts", "script", "tools", ".github", ".husky"]
+IGNORED_FOLDERS = ["node_modules", "bower_components", ".git", ".hg", ".svn", "__pycache__", ".venv", "venv", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".next", ".turbo", ".cache"]
+TEST_NAMES = r"^test_.*\.py\z|_test\.py\z|^conftest\.py\z|\.test\.|\.spec\.|^test-.*\.(?:js|mjs|cjs|ts|mts|cts|py)\z"
+ROOT_BUILD = r"^build\.(?:[mc]?[jt]s|py)\z"
+BUILD_NAMES = r"^(?:(?:webpack|rollup|vite|vitest|jest|tsup|babel|eslint|prettier)\.config|esbuild|gulpfile|Gruntfile|\.eslintrc|\.prettierrc)\.|^(?:noxfile|fabfile|hatch_build)\.py\z"
+BUILD_WORDS = r"(?i)build|release|publish|deploy|bump|changelog|version|bundle|compile|lint|format|codegen|generate"
 
 
 def folders(path: Column) -> Column:
@@ -30,8 +35,10 @@ def in_test_folder(path: Column) -> Column:
 def location_kind(path: Column) -> Column:
     """test_or_example, build_script or server_code, in this order; folders in any case, file names as they are."""
     name = file_name(path)
-    test = in_test_folder(path) | name.rlike(r"^test_.*\.py\z|_test\.(py|go)\z|\.(test|spec)\.[cm]?[jt]sx?\z|^conftest\.py\z")
-    build = F.exists(folders(path), lambda p: F.lower(p).isin(BUILD_FOLDERS)) | name.rlike(r"^(setup\.py|noxfile\.py|tasks\.py|[Mm]akefile|gulpfile\..*|.*\.config\.[cm]?[jt]s)\z")
+    test = in_test_folder(path) | name.rlike(TEST_NAMES)
+    first = F.split_part(path, F.lit("/"), F.lit(1))
+    in_build = F.exists(folders(path), lambda p: F.lower(p).isin(BUILD_FOLDERS)) & name.rlike(BUILD_WORDS)
+    build = (F.contains(path, F.lit("/")) & (F.lower(first) == ".github")) | path.rlike(ROOT_BUILD) | name.rlike(BUILD_NAMES) | in_build
     return F.when(test, "test_or_example").when(build, "build_script").otherwise("server_code")
 
 

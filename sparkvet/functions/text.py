@@ -227,3 +227,8 @@ def allowed_domain(domain: Column, known: Column) -> Column:
 def normalized_name(name: Column) -> Column:
     """A Python project's name in its normal form."""
     return F.lower(F.regexp_replace(name, "[-_.]+", "-"))
+
+
+def html_comments(text: Column) -> Column:
+    """The insides of closed HTML comments."""
+    return F.regexp_extract_all(text, F.lit("(?s)<!--(.*?)-->"), 1)

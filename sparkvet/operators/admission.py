@@ -130,3 +130,106 @@ def daily_limit(kind: Column) -> Column:
     for k, n in DAILY_LIMITS.items():
         out = F.when(kind == k, F.lit(n)).otherwise(out)
     return out
+
+
+def newest(rows: DataFrame, keys: list[str], at: str, tie: str, n: int) -> DataFrame:
+    """The n newest rows of each key; of equal times the least tie."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at), tie))).where(F.col("__k") <= n).drop("__k")
+
+
+def reusable(waiting: DataFrame, done: DataFrame, keys: list[str], result: str, order: list[str]) -> DataFrame:
+    """waiting with `hit`: the last finished result of the same keys; null without one."""
+    last = done.groupBy(*keys).agg(F.max_by(result, F.struct(*order)).alias("hit"))
+    return waiting.join(last, keys, "left")
+
+
+def retained(rows: DataFrame, erased: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of keys that are not erased."""
+    return rows.join(erased.select(*keys).distinct(), keys, "left_anti")
+
+
+def digest(alerts: DataFrame, code: str, at: str, most: int = 20) -> DataFrame:
+    """code, n, first, last of the `most` codes that came first."""
+    found = alerts.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    return found.orderBy("first", "code").limit(most)
+
+
+def gives_back(code: Column, table: dict[str, bool]) -> Column:
+    """What a table of codes says about giving a token back; a code that it lacks gives it back."""
+    out = F.lit(True)
+    for k, v in table.items():
+        out = F.when(code == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def deciding_code(error_code: Column, fetch_code: Column) -> Column:
+    """The code that decides a failure: that of the download where fetching failed."""
+    return F.when(error_code == "fetch", fetch_code).otherwise(error_code)
+
+
+def token_back(state: Column, code: Column, status: Column, from_cache: Column, table: dict[str, bool]) -> Column:
+    """A failure goes by its code; a reused result or a list of several servers gives the token back."""
+    return F.when(state == "failed", gives_back(code, table)).otherwise(F.coalesce(from_cache, F.lit(False)) | F.coalesce(status == "multiple_servers", F.lit(False)))
+
+
+def counted_refusals(refused: DataFrame, kind: Column, day: Column) -> DataFrame:
+    """kind, day, refusals."""
+    return refused.groupBy(kind.alias("kind"), day.alias("day")).agg(F.count("*").alias("refusals"))
+
+
+#: Which state may follow which.
+NEXT_STATES = {"queued": ["fetching", "quota_exhausted", "failed"], "fetching": ["analyzing", "failed"], "analyzing": ["done", "failed"]}
+
+
+def state_of(changes: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """key, state, ignored: the state that a job's changes (state) lead to from `queued`, and how many changes its states forbid."""
+
+    def fold(state: Column, wanted: Column) -> Column:
+        allowed = F.lit(False)
+        for a, following in NEXT_STATES.items():
+            allowed = allowed | ((state["state"] == a) & wanted.isin(following))
+        return F.struct(F.when(allowed, wanted).otherwise(state["state"]).alias("state"), (state["ignored"] + F.when(allowed, 0).otherwise(1)).alias("ignored"))
+
+    steps = F.transform(F.sort_array(F.collect_list(F.struct(at, tie, "state"))), lambda x: x["state"])  # a job has few changes
+    start = F.struct(F.lit("queued").alias("state"), F.lit(0).alias("ignored"))
+    return changes.groupBy(key).agg(F.aggregate(steps, start, fold).alias("x")).select(key, "x.*")
+
+
+#: Seconds to wait after each failed delivery; after the last one a mail is dropped.
+RETRY_SECONDS = [30, 120, 600]
+
+
+def after_failure(attempts: Column, now: Column) -> Column:
+    """When to try a mail again after so many failures; null when it is dropped."""
+    out = F.lit(None).cast("timestamp_ntz")
+    for i, s in enumerate(RETRY_SECONDS, 1):
+        out = F.when(attempts == i, now + F.expr(f"INTERVAL {s} SECONDS")).otherwise(out)
+    return out
+
+
+def deliverable(outbox: DataFrame, now: Column, batch: int) -> DataFrame:
+    """Of the oldest `batch` mails those whose next try has come. outbox: id, created_at, next_at."""
+    return outbox.orderBy("created_at", "id").limit(batch).where(F.col("next_at").isNull() | (F.col("next_at") <= now))
+
+
+def next_reset(moment: Column) -> Column:
+    """Next midnight."""
+    return F.date_add(F.to_date(moment), 1)
+
+
+def next_month(moment: Column) -> Column:
+    """First day of the next month."""
+    return F.to_date(F.add_months(F.trunc(F.to_date(moment), "month"), 1))
+
+
+def address_fingerprint(address: Column, salt: Column) -> Column:
+    """HMAC-SHA256 of an address with a salt of up to 64 bytes, in hex, from hashes alone."""
+    key = F.rpad(F.hex(salt.cast("binary")), 128, "0")
+    inner_pad, outer_pad = ("".join(f"{b ^ x:02X}" for b in range(256)) for x in (0x36, 0x5C))
+
+    def padded(table: str) -> Column:
+        byte = lambda i: F.conv(F.substr(key, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substr(F.lit(table), 2 * byte(i) + 1, F.lit(2))), ""))
+
+    inner = F.unhex(F.sha2(F.concat(padded(inner_pad), address.cast("binary")), 256))
+    return F.sha2(F.concat(padded(outer_pad), inner), 256)

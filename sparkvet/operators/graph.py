@@ -37,7 +37,7 @@ def walk(roots: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
         frontier = _cut(first.select("root", "node", F.lit(d).alias("depth"), F.concat("x.pc", F.array("node")).alias("chain"), F.row_number().over(queue).cast("long").alias("ord")))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each round stands in a checkpoint of its own
     return seen
 
 
@@ -53,11 +53,13 @@ def closure(start: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> Data
     """All (node) reachable from start (node) over edges (caller, callee), start included; rounds stop when nothing is new."""
     seen = _cut(start.select("node").distinct())
     frontier = seen
-    for _ in range(most_rounds):
+    for i in range(1, most_rounds):
         met = frontier.join(edges, F.col("node") == F.col("caller")).select(F.col("callee").alias("node")).distinct()
         known = seen.select(F.col("node").alias("n"))
         frontier = _cut(met.join(known, F.col("node") == F.col("n"), "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.union(frontier))
+        seen = seen.union(frontier)
+        if i % 16 == 0:
+            seen = _cut(seen)  # keeps the plan small
     raise RuntimeError("closure did not settle")

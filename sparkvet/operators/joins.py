@@ -13,12 +13,12 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str,
 
     Spans are spread over buckets of `width` positions, so the join is an equi-join on keys and bucket.
     """
-    a = points.withColumn("__bin", F.floor(F.col(point) / width))
+    a = points.select(*keys, point).distinct().withColumn("__bin", F.floor(F.col(point) / width))  # equal places share their span
     b = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))).where(F.col(end) > F.col(start))
-    a = a.withColumn("__point", F.monotonically_increasing_id())
     hit = a.join(b, [*keys, "__bin"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
-    best = Window.partitionBy("__point").orderBy(F.col(end) - F.col(start), F.col(order))
-    return hit.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank", "__bin", "__point")
+    chosen = [c for c in spans.columns if c not in keys]
+    best = hit.groupBy(*keys, point).agg(F.min_by(F.struct(*chosen), F.struct(F.col(end) - F.col(start), F.col(order))).alias("__span"))
+    return points.join(best, [*keys, point]).select("*", "__span.*").drop("__span")
 
 
 def glob_pattern(glob: str) -> str:
@@ -74,3 +74,14 @@ def as_of_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str,
     order = Window.partitionBy(*keys).orderBy(at, "__side", F.desc_nulls_last("__tie")).rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumns({f"asof_{c}": F.last(F.when(F.col("__side") == 0, F.struct(f"__v_{c}")), ignorenulls=True).over(order)[f"__v_{c}"] for c in value})
     return both.where("__side = 1").select(*left.columns, *[f"asof_{c}" for c in value])
+
+
+def with_next(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """rows with next_<value> of the row that follows in order, so that each opens a region which the next one ends."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumns({f"next_{v}": F.lead(v).over(w) for v in values})
+
+
+def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys, and the order columns of the first row of each key."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__x")).select(*keys, "__x.*")

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from sparkvet.functions import text as tx
 
 Views = dict[str, DataFrame]
-POWERFUL = ["exec", "dynamic_code", "fs_write", "fs_delete", "env_read_secret", "docker_socket", "process_control"]
+#: Capabilities that are worth an alert of their own.
+POWERFUL = ["exec", "fs_write", "env_read_secret", "dynamic_code", "sensitive_path", "install_script", "docker_socket"]
 ALERT = ["pkg", "rule", "colour", "kind", "tool", "file", "line", "quote", "detail", "rule_ord", "ord"]
 
 
@@ -40,10 +41,12 @@ class Registry:
 
         return register
 
-    def alerts(self, views: Views) -> DataFrame:
-        """All alert rows; order by severity descending, rule_ord, ord for display."""
+    def alerts(self, views: Views, only: list[str] | None = None) -> DataFrame:
+        """Alert rows of all rules, or of some; order by severity descending, rule_ord, ord for display."""
         found = []
         for i, (name, (colour, kind, f)) in enumerate(self.rules.items()):
+            if only is not None and name not in only:
+                continue
             rows = f(views)
             missing = {c: F.lit(None).cast(t) for c, t in (("tool", "string"), ("file", "string"), ("line", "int"), ("quote", "string"), ("detail", "string")) if c not in rows.columns}
             rows = rows.withColumns(missing | ({} if "ord" in rows.columns else {"ord": F.lit(0)}))
@@ -191,8 +194,8 @@ def hidden_directive(v):
 def open_network(v):
     """Requests of a tool to an address it doesn't fix: those with a flow, the most direct first; without any flow the first alone."""
     open_ = v["findings"].where("tool IS NOT NULL AND capability = 'network' AND url_kind = 'dynamic' AND url_host IS NULL AND NOT coalesce(fixed_site, false)").where(tx.is_request(F.col("detail"), F.coalesce("has_address", F.lit(False))))
-    f = v["flows"].where("sink = 'network'").groupBy("pkg", "tool", "file", "line").agg(F.min(F.struct(F.when(F.col("pasted"), 1).otherwise(0).alias("directness"), "steps")).alias("__flow"))
-    ranked = server(open_).join(f, ["pkg", "tool", "file", "line"], "left")
+    f = v["flows"].where("source = 'tool_parameter' AND sink = 'network'").groupBy("pkg", "tool", "file", "line").agg(F.min(F.struct(F.when(F.col("pasted"), 1).otherwise(0).alias("directness"), "steps")).alias("__flow"))
+    ranked = first(server(open_), "tool", "file", "line").join(f, ["pkg", "tool", "file", "line"], "left")
     rank = Window.partitionBy("pkg", "tool").orderBy(F.coalesce("__flow.directness", F.lit(2)), "__flow.steps", "ord")
     return ranked.withColumn("__k", F.row_number().over(rank)).where("__flow IS NOT NULL OR __k = 1")
 
@@ -285,9 +288,9 @@ SCHEMAS = {
 }
 
 
-def alerts(spark, views: Views) -> DataFrame:
-    """Alert rows of all rules; views that are missing count as empty."""
-    return RULES.alerts({k: views[k] if k in views else spark.createDataFrame([], s) for k, s in SCHEMAS.items()})
+def alerts(spark, views: Views, only: list[str] | None = None) -> DataFrame:
+    """Alert rows of all rules, or of some; views that are missing count as empty."""
+    return RULES.alerts({k: views[k] if k in views else spark.createDataFrame([], s) for k, s in SCHEMAS.items()}, only)
 
 
 def complete(df: DataFrame, view: str) -> DataFrame:

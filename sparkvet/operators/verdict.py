@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 #: Severity of a colour; green and gray are told apart by the reading.
 SEVERITY = {"green": 0, "gray": 0, "orange": 1, "red": 2}
 
-#: Codes of an incomplete reading, in the order in which they are named.
-READING = ["tools_missing", "parse_errors", "skipped_files", "compiled_files", "dynamic_descriptions", "calls_not_followed", "network_not_followed"]
+#: Codes of an incomplete reading, in the order in which they are named.
+READING = ["compiled_files", "parse_errors", "skipped_files", "tools_missing", "calls_not_followed", "dynamic_descriptions", "network_not_followed"]
 
 #: Lamps in order, each with the capabilities that light it and the red rules that make it red.
 LAMPS = [
     ("files_read", ["fs_read"], []),
     ("files_write", ["fs_write"], ["R08"]),
     ("internet", ["network"], ["R04", "R05", "R07", "R10"]),
-    ("commands", ["exec", "dynamic_code"], ["R07", "R09", "R10"]),
-    ("secrets", ["env_read_secret"], ["R03", "R04"]),
-    ("hidden_text", [], ["R01", "R02", "R06", "R12", "R13"]),
+    ("commands", ["exec", "dynamic_code", "install_script", "docker_socket"], ["R07", "R09", "R10"]),
+    ("secrets", ["env_read_secret", "sensitive_path"], ["R03", "R04"]),
+    ("hidden_text", ["invisible_character"], ["R01", "R02", "R06", "R12", "R13"]),
 ]
 
 
@@ -53,7 +53,7 @@ def level(red: Column, orange: Column) -> Column:
 def lamps(owners: DataFrame, findings: DataFrame, alerts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, lamp, ord, state (off, on, danger), rules: six rows an owner.
 
-    findings: keys, capability; alerts: keys, rule, colour; a hidden character lights hidden_text by its own rule.
+    findings: keys, capability (`invisible_character` stands for one in a text); alerts: keys, rule, colour.
     """
     caps = findings.groupBy(*keys).agg(F.collect_set("capability").alias("__caps"))  # at most 12 values
     red = alerts.where("colour = 'red'").groupBy(*keys).agg(F.collect_set("rule").alias("__red"))  # at most 13

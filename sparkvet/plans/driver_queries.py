@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvet.functions import text as tx
-from sparkvet.operators import admission, bench_study, graph, joins, verdict
+from sparkvet.functions import versions
+from sparkvet.operators import admission, bench_study, graph, joins, rules, service, verdict
 
 QUERIES, ORACLES = {}, {}
 
@@ -140,8 +141,7 @@ def history_dedupe_greedy(spark, table):
 
 @query("SELECT c_name, o_orderkey, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 3")
 def history_top_n(spark, table):
-    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    top = table("orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("k", F.row_number().over(newest)).where("k <= 3")
+    top = admission.newest(table("orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate", "o_orderkey", 3)
     return top.join(table("customer"), top["o_custkey"] == F.col("c_custkey")).select("c_name", "o_orderkey", "o_orderdate")
 
 
@@ -161,8 +161,7 @@ WITH done AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) A
 SELECT o.o_orderkey, d.hit FROM orders o LEFT JOIN done d USING (o_custkey) WHERE o.o_orderstatus = 'P'""")
 def cache_lookup(spark, table):
     o = table("orders")
-    done = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("hit"))
-    return o.where("o_orderstatus = 'P'").join(done, "o_custkey", "left").select("o_orderkey", "hit")
+    return admission.reusable(o.where("o_orderstatus = 'P'"), o.where("o_orderstatus = 'F'"), ["o_custkey"], "o_orderkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "hit")
 
 
 @query("""
@@ -177,15 +176,13 @@ def budget_windows(spark, table):
 @query("SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20' AND user_id NOT IN (SELECT DISTINCT user_id FROM events WHERE value > 300)")
 def retention_anti(spark, table):
     e = table("events")
-    erased = e.where("value > 300").select("user_id").distinct()
-    return e.where(F.to_date("ts") >= F.lit("2024-01-20").cast("date")).join(erased, "user_id", "left_anti").select("event_id")
+    return admission.retained(e.where(F.to_date("ts") >= F.lit("2024-01-20").cast("date")), e.where("value > 300"), ["user_id"]).select("event_id")
 
 
 @query("SELECT code, n, first_us, last_us FROM (SELECT user_id AS code, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM events WHERE event_type = 'error' GROUP BY 1) ORDER BY first_us, code LIMIT 20")
 def alert_digest(spark, table):
     us = lambda c: F.unix_micros(c.cast("timestamp"))
-    errors = table("events").where("event_type = 'error'").groupBy(F.col("user_id").alias("code")).agg(F.count("*").alias("n"), us(F.min("ts")).alias("first_us"), us(F.max("ts")).alias("last_us"))
-    return errors.orderBy("first_us", "code").limit(20)
+    return admission.digest(table("events").where("event_type = 'error'"), "user_id", "ts").select("code", "n", us(F.col("first")).alias("first_us"), us(F.col("last")).alias("last_us"))
 
 
 @query("""
@@ -201,23 +198,14 @@ def asof_previous(spark, table):
 
 @query("""
 WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * 100 + l_linenumber AS place, l_suppkey % 10 AS f FROM lineitem),
-s AS (SELECT p_partkey AS span, p_partkey % 10 AS f, (p_size * 97) % 4000 AS a, (p_size * 97) % 4000 + 50 + p_partkey % 900 AS b FROM part WHERE p_partkey < 200)
-SELECT DISTINCT l_orderkey, l_linenumber, place, f, span FROM p JOIN s USING (f) WHERE place >= a AND place < b QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, place, f ORDER BY b - a, span) = 1""")
+s AS (SELECT p_partkey AS span, p_partkey % 10 AS f, (p_size * 97) % 4000 AS a, (p_size * 97) % 4000 + 50 + p_partkey % 900 AS b FROM part),
+h AS (SELECT place, f, arg_min(span, (b - a, span)) AS span FROM (SELECT DISTINCT place, f FROM p) JOIN s USING (f) WHERE place >= a AND place < b GROUP BY place, f)
+SELECT l_orderkey, l_linenumber, place, f, span FROM p JOIN h USING (place, f)""")
 def innermost_region(spark, table):
-    at = table("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 100 + F.col("l_linenumber")).alias("place"), (F.col("l_suppkey") % 10).alias("f")).distinct()
-    a = F.col("p_size") * 97 % 4000
-    spans = table("part").where("p_partkey < 200").select(F.col("p_partkey").alias("span"), (F.col("p_partkey") % 10).alias("f"), a.cast("long").alias("a"), (a + 50 + F.col("p_partkey") % 900).alias("b"))
-    return joins.innermost(at, spans, ["f"], "place", "a", "b", "span", 512).select("l_orderkey", "l_linenumber", "place", "f", "span")
-
-
-@query()
-def innermost_region_whole(spark, table):
-    """innermost_region over the spans of all parts; no SQL. Lines that share place and f share their span, so each place is looked up once."""
     at = table("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 100 + F.col("l_linenumber")).alias("place"), (F.col("l_suppkey") % 10).alias("f")).distinct()
     a = F.col("p_size") * 97 % 4000
     spans = table("part").select(F.col("p_partkey").alias("span"), (F.col("p_partkey") % 10).alias("f"), a.cast("long").alias("a"), (a + 50 + F.col("p_partkey") % 900).alias("b"))
-    found = joins.innermost(at.select("place", "f").distinct(), spans, ["f"], "place", "a", "b", "span", 512).select("place", "f", "span")
-    return at.join(found, ["place", "f"]).select("l_orderkey", "l_linenumber", "place", "f", "span")
+    return joins.innermost(at, spans, ["f"], "place", "a", "b", "span", 512).select("l_orderkey", "l_linenumber", "place", "f", "span")
 
 
 GLOBS = [("red widget", "exact"), ("red *", "red"), ("* bolt", "bolt"), ("s?all*", "small"), ("*e*", "any_e")]
@@ -249,63 +237,42 @@ def anti_prefix(spark, table):
 
 @query("SELECT conv_id, turn, role, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)")
 def next_marker_region(spark, table):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role")
-    return table("conversations").select("conv_id", "turn", "role", F.lead("turn").over(w).alias("next_turn"), F.lead("role").over(w).alias("next_role"))
+    return joins.with_next(table("conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn", "role"], ["turn", "role"])
 
 
 @query("SELECT l_suppkey, l_returnflag, min((l_shipdate, l_orderkey, l_linenumber, l_partkey)).l_orderkey AS l_orderkey FROM (SELECT l_suppkey, l_returnflag, {'l_shipdate': l_shipdate, 'l_orderkey': l_orderkey} AS x, l_shipdate, l_orderkey, l_linenumber, l_partkey FROM lineitem) GROUP BY ALL".replace("min((l_shipdate, l_orderkey, l_linenumber, l_partkey)).l_orderkey", "min(x).l_orderkey"))
 def first_seen(spark, table):
-    first = table("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.min(F.struct("l_shipdate", "l_orderkey")).alias("x"))
-    return first.select("l_suppkey", "l_returnflag", "x.l_orderkey")
+    return joins.first_by(table("lineitem"), ["l_suppkey", "l_returnflag"], ["l_shipdate", "l_orderkey"]).select("l_suppkey", "l_returnflag", "l_orderkey")
 
 
-EDGE_SQL = "SELECT DISTINCT l_suppkey % 500 AS caller, (l_suppkey * 7 + l_partkey) % 500 AS callee FROM lineitem WHERE l_quantity >= 40 AND l_linenumber = 1 AND l_returnflag = 'R' AND l_discount < 0.02"
+EDGE_SQL = "SELECT DISTINCT l_suppkey AS caller, l_suppkey * 7 + l_partkey AS callee FROM lineitem"
 
 
 def _edges(table):
-    e = table("lineitem").where("l_quantity >= 40 AND l_linenumber = 1 AND l_returnflag = 'R' AND l_discount < 0.02")
-    return e.select((F.col("l_suppkey") % 500).alias("caller"), ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 500).alias("callee")).distinct()
+    """Calls of all lineitem rows: supplier l_suppkey calls node 7 * l_suppkey + l_partkey."""
+    return table("lineitem").select(F.col("l_suppkey").alias("caller"), (F.col("l_suppkey") * 7 + F.col("l_partkey")).alias("callee")).distinct()
 
 
 @query(f"""
-WITH RECURSIVE e AS ({EDGE_SQL}), r AS (SELECT caller AS root, caller AS node, 0 AS depth FROM (SELECT DISTINCT caller FROM e WHERE caller < 10)
+WITH RECURSIVE e AS ({EDGE_SQL}), r AS (SELECT DISTINCT caller AS root, caller AS node, 0 AS depth FROM e
  UNION SELECT r.root, e.callee, r.depth + 1 FROM r JOIN e ON e.caller = r.node WHERE r.depth < 5)
 SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node""")
 def bfs_depth5(spark, table):
+    """From every caller over the calls of all rows."""
     edges = _edges(table).withColumn("at", F.col("callee"))
-    roots = edges.where("caller < 10").select(F.col("caller").alias("root"), F.col("caller").alias("node"))
-    return graph.walk(roots, edges, 5).select("root", "node", "depth")
-
-
-@query(f"WITH RECURSIVE e AS ({EDGE_SQL}), r AS (SELECT DISTINCT caller AS node FROM e WHERE caller < 3 UNION SELECT e.callee FROM r JOIN e ON e.caller = r.node) SELECT node FROM r")
-def closure(spark, table):
-    edges = _edges(table)
-    return graph.closure(edges.where("caller < 3").select(F.col("caller").alias("node")), edges)
-
-
-def _whole_edges(table):
-    """Calls of all lineitem rows between whole ids: supplier l_suppkey calls node 7 * l_suppkey + l_partkey."""
-    return table("lineitem").select(F.col("l_suppkey").alias("caller"), (F.col("l_suppkey") * 7 + F.col("l_partkey")).alias("callee")).distinct()
-
-
-@query()
-def bfs_depth5_whole(spark, table):
-    """bfs_depth5 from every caller over all edges; no SQL."""
-    edges = _whole_edges(table).withColumn("at", F.col("callee"))
     roots = edges.select(F.col("caller").alias("root"), F.col("caller").alias("node")).distinct()
     return graph.walk(roots, edges, 5).select("root", "node", "depth")
 
 
-@query()
-def closure_whole(spark, table):
-    """closure over all edges from the suppliers with a negative balance; no SQL."""
-    owing = table("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
-    return graph.closure(owing, _whole_edges(table))
+@query(f"WITH RECURSIVE e AS ({EDGE_SQL}), r AS (SELECT s_suppkey AS node FROM supplier WHERE s_acctbal < 0 UNION SELECT e.callee FROM r JOIN e ON e.caller = r.node) SELECT node FROM r")
+def closure(spark, table):
+    """What the suppliers with a negative balance reach over the calls of all rows."""
+    return graph.closure(table("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node")), _edges(table))
 
 
 @query("SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS blocks FROM pages")
 def directive_blocks(spark, table):
-    return table("pages").select("page_id", F.regexp_extract_all("html", F.lit("(?s)<!--(.*?)-->"), 1).alias("blocks"))
+    return table("pages").select("page_id", tx.html_comments(F.col("html")).alias("blocks"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages")
@@ -339,14 +306,13 @@ def minified(spark, table):
 @query("SELECT p_partkey, [p_size, p_partkey % 10, p_partkey % 3] >= [10, 5, 1] AND [p_size, p_partkey % 10, p_partkey % 3] < [20, 0, 0] AS inside FROM part")
 def semver_order(spark, table):
     v = F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 10, F.col("p_partkey") % 3)
-    bound = lambda *x: F.array(*[F.lit(i).cast("long") for i in x])
-    return table("part").select("p_partkey", ((v >= bound(10, 5, 1)) & (v < bound(20, 0, 0))).alias("inside"))
+    return table("part").select("p_partkey", versions.within(v, [10, 5, 1], [20, 0, 0]).alias("inside"))
 
 
 @query("SELECT p_partkey, 'name' AS field, p_name AS text FROM part UNION ALL SELECT p_partkey, 'description', p_type FROM part UNION ALL SELECT p_partkey, 'title', p_brand FROM part")
 def tool_text_unpivot(spark, table):
-    p = table("part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("title"))
-    return p.unpivot("p_partkey", ["name", "description", "title"], "field", "text")
+    p = table("part").select(F.lit("p").alias("pkg"), F.col("p_partkey").cast("string").alias("tool"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_brand").alias("title"))
+    return rules.tool_texts({"tools": rules.complete(p, "tools")}, names=True).select(F.col("tool").cast("long").alias("p_partkey"), "field", "text")
 
 
 @query("SELECT event_id, CAST(round(value * 100) AS BIGINT) * 3 + event_id % 1000 * 15 AS micro_usd FROM events")
@@ -356,21 +322,19 @@ def tokens_cost(spark, table):
 
 @query("SELECT event_type AS code, count(*) AS n, CASE WHEN event_type IN ('error', 'view') THEN true WHEN event_type = 'click' THEN false ELSE true END AS gives_back FROM events GROUP BY event_type")
 def refund_lookup(spark, table):
-    codes = spark.createDataFrame([("error", True), ("view", True), ("click", False)], "code string, back boolean")
     n = table("events").groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(codes), "code", "left").select("code", "n", F.coalesce("back", F.lit(True)).alias("gives_back"))
+    return n.select("code", "n", admission.gives_back(F.col("code"), {"error": True, "view": True, "click": False}).alias("gives_back"))
 
 
 @query("SELECT o_custkey, count(*) AS items, CAST(coalesce(sum(len), 0) AS BIGINT) AS chars FROM (SELECT o_custkey, length(o_orderpriority) AS len, sum(length(o_orderpriority)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS running FROM orders) WHERE running <= 60 GROUP BY o_custkey")
 def items_within_budget(spark, table):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    n = table("orders").select("o_custkey", F.length("o_orderpriority").alias("len"), F.sum(F.length("o_orderpriority")).over(w).alias("running"))
-    return n.where("running <= 60").groupBy("o_custkey").agg(F.count("*").alias("items"), F.sum("len").alias("chars"))
+    kept = service.within_budget(table("orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], "o_orderpriority", "o_orderkey", 60)
+    return kept.groupBy("o_custkey").agg(F.count("*").alias("items"), F.sum(F.length("o_orderpriority")).alias("chars"))
 
 
 @query("SELECT c_mktsegment AS kind, CAST(c_custkey % 30 AS BIGINT) AS day, count(*) AS refusals FROM customer WHERE c_acctbal < 0 OR c_custkey % 3 = 0 GROUP BY ALL")
 def refusal_counters(spark, table):
-    return table("customer").where("c_acctbal < 0 OR c_custkey % 3 = 0").groupBy(F.col("c_mktsegment").alias("kind"), (F.col("c_custkey") % 30).alias("day")).agg(F.count("*").alias("refusals"))
+    return admission.counted_refusals(table("customer").where("c_acctbal < 0 OR c_custkey % 3 = 0"), F.col("c_mktsegment"), F.col("c_custkey") % 30)
 
 
 @query("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, greatest(0, count(*) FILTER (WHERE event_type <> 'click') - count(*) FILTER (WHERE event_type = 'error'))::BIGINT AS used FROM events WHERE event_type <> 'click' GROUP BY user_id, CAST(ts AS DATE)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkvet.functions import paths
@@ -25,12 +25,12 @@ def views(files: DataFrame) -> dict[str, DataFrame]:
     named = functions.select("pkg", F.col("function").alias("callee_name"), F.col("node").alias("callee"), F.col("path").alias("callee_path"))
     same = calls.join(named, ["pkg", "callee_name"]).where((F.col("path") == F.col("callee_path")) | ~F.col("callee_name").startswith("_"))
     edges = same.select("caller", "callee", "at").where("caller != callee")
-    roots = tools.join(functions, ["pkg", "path"]).where(F.col("fs") == F.col("start")).select(F.concat_ws("\u0002", "pkg", "tool").alias("root"), "node")
+    roots = tools.withColumnRenamed("start", "fs").join(functions, ["pkg", "path", "fs"]).select(F.concat_ws("\u0002", "pkg", "tool").alias("root"), "node")
     reached = graph.walk(roots, edges)
     found = inside.where("fact = 'finding'").withColumnRenamed("node", "at_node")
     secret = (F.col("name") == "env_read") & F.coalesce(tx.is_secret_name(F.col("detail")), F.lit(False))
     shape = [F.when(secret, "env_read_secret").otherwise(F.col("name")).alias("capability"), "detail", F.col("path").alias("file"), "line", "location_kind", F.col("extra")["url_kind"].alias("url_kind"), F.col("extra")["url_host"].alias("url_host"), (F.col("extra")["has_address"] == "true").alias("has_address"), (F.col("extra")["sends"] == "true").alias("sends")]
-    own = found.join(reached, found["at_node"] == reached["node"]).select("pkg", F.split_part("root", F.lit("\u0002"), F.lit(2)).alias("tool"), (F.col("depth") * 1000000 + F.col("offset")).cast("int").alias("ord"), *shape)
+    own = found.join(reached, found["at_node"] == reached["node"]).select("pkg", F.split_part("root", F.lit("\u0002"), F.lit(2)).alias("tool"), F.row_number().over(Window.partitionBy("pkg", "root").orderBy("depth", "path", "offset")).alias("ord"), *shape)
     outside = facts.where("fact = 'finding'").withColumn("offset", F.col("start")).join(own.select("pkg", F.col("file").alias("path"), "line", "capability").distinct().withColumnRenamed("capability", "__c"), ["pkg", "path", "line"], "left_anti").select("pkg", F.lit(None).cast("string").alias("tool"), F.col("offset").cast("int").alias("ord"), *shape)
     texts = facts.where("fact = 'string'").select("pkg", F.col("detail").alias("text"), F.col("path").alias("file"), "line", "location_kind")
     list_of = lambda k: F.filter(F.split(F.coalesce(F.col("extra")[k], F.lit("")), ","), lambda x: x != "")
@@ -46,7 +46,7 @@ def views(files: DataFrame) -> dict[str, DataFrame]:
         "findings": rules.complete(own.unionByName(outside), "findings"),
         "strings": texts,
         "sensitive_paths": texts.select("pkg", "file", "line", F.explode(tx.sensitive_paths(F.col("text"))).alias("x")).select("pkg", "file", "line", "x.kind", "x.match"),
-        "unread": facts.where("fact in ('parse_error', 'skipped')").select("pkg", "fact", "path"),
+        "unread": facts.where("fact in ('parse_error', 'skipped', 'flow_gap') AND location_kind = 'server_code'").select("pkg", "fact", "path"),
     }
 
 
@@ -57,10 +57,10 @@ def alerts(spark: SparkSession, found: dict[str, DataFrame]) -> DataFrame:
 def verdicts(spark: SparkSession, files: DataFrame) -> DataFrame:
     """pkg, colour, reasons, gray_case of each package of files."""
     v = views(files)
-    unread = v["unread"].groupBy("pkg").agg(F.bool_or(F.col("fact") == "parse_error").alias("parse_errors"), F.bool_or(F.col("fact") == "skipped").alias("skipped_files"))
+    unread = v["unread"].groupBy("pkg").agg(F.bool_or(F.col("fact") == "parse_error").alias("parse_errors"), F.bool_or(F.col("fact") == "skipped").alias("skipped_files"), F.bool_or(F.col("fact") == "flow_gap").alias("calls_not_followed"))
     tools = v["tools"].groupBy("pkg").agg(F.count("*").alias("n"))
     p = files.select("pkg").distinct().join(unread, "pkg", "left").join(tools, "pkg", "left")
-    reading = verdict.reading_codes({"tools_missing": F.col("n").isNull(), "parse_errors": F.col("parse_errors"), "skipped_files": F.col("skipped_files")})
+    reading = verdict.reading_codes({"tools_missing": F.col("n").isNull(), "parse_errors": F.col("parse_errors"), "skipped_files": F.col("skipped_files"), "calls_not_followed": F.col("calls_not_followed")})
     packages = p.select("pkg", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_code"), F.array().cast("array<string>").alias("notes"), reading.alias("reading"))
     return verdict.verdicts(packages, alerts(spark, v).select("pkg", "colour"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkvet.plans import driver_queries, packages
+from sparkvet.plans import driver_queries, packages, rule_queries
 
-QUERIES = driver_queries.QUERIES | packages.QUERIES
-ORACLES = dict(driver_queries.ORACLES)
+QUERIES = driver_queries.QUERIES | rule_queries.QUERIES | packages.QUERIES
+ORACLES = driver_queries.ORACLES | rule_queries.ORACLES

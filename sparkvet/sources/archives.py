@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import stat
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,7 +77,7 @@ def entries(data: bytes, budget: Budget = Budget()) -> list[tuple[str, bytes | N
             if total > budget.ratio * len(data):
                 return [*out, (None, None, total, "ratio_too_high")]
             out.append((name, head, len(head), None))
-    except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError, ValueError) as e:
+    except (tarfile.TarError, zipfile.BadZipFile, zlib.error, lzma.LZMAError, struct.error, EOFError, OSError, ValueError, RuntimeError, NotImplementedError, MemoryError, IndexError) as e:
         out.append((None, None, 0, f"unreadable:{type(e).__name__}"))
     return out
 

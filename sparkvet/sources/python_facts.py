@@ -188,14 +188,16 @@ def facts_of(pkg: str, path: str, source: bytes) -> list[tuple]:
     reader = _File(pkg, path, source)
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as e:
+        reader.visit(tree)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # what can't be read to the end counts as unread
         return [(pkg, path, "parse_error", type(e).__name__, str(e)[:200], 0, len(source), getattr(e, "lineno", None) or 0, {})]
-    reader.visit(tree)
     tools = [(r[3], r[8]["function"]) for r in reader.rows if r[2] == "tool"]
     try:
-        found = python_flow.flows(reader, tree, tools)
-    except RecursionError:
-        found = []
+        found, gaps = python_flow.flows(reader, tree, tools)
+    except (RecursionError, MemoryError) as e:
+        found, gaps = [], [type(e).__name__]
+    for gap in gaps:
+        reader.rows.append((pkg, path, "flow_gap", gap, None, 0, len(source), 0, {}))
     for tool, h in found:
         extra = {"tool": tool, "kind": h.label.kind, "pasted": str(h.label.pasted).lower(), "role": h.role, "path_kinds": ",".join(h.path_kinds), "steps": str(h.steps)}
         reader.rows.append((pkg, path, "flow", h.sink, h.label.source, h.offset, h.offset, h.line, {k: v for k, v in extra.items() if v}))

@@ -6,18 +6,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvet.operators import admission, graph, joins, rules
-from sparkvet.plans import driver_queries, packages
+from sparkvet.plans import driver_queries, packages, registry
 
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(driver_queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"):
         c.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     norm = lambda v: tuple(map(norm, v)) if isinstance(v, (list, tuple)) else round(v, 6) if isinstance(v, float) else str(v) if isinstance(v, (dt.date, dt.datetime)) else v
-    got, want = driver_queries.QUERIES[name](spark, SMALL), c.sql(driver_queries.ORACLES[name])
+    got, want = registry.QUERIES[name](spark, SMALL), c.sql(registry.ORACLES[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     place = [want.columns.index(k) for k in columns]
@@ -96,6 +96,15 @@ def test_packages_end_to_end(spark):
     assert ("installer", "R08") not in got and ("runner", "R09") not in got
 
 
+def test_address_fingerprints(spark):
+    import hashlib
+    import hmac
+
+    c = {r["c_custkey"]: r for r in spark.read.parquet(f"{SMALL}/customer.parquet").collect()}
+    got = driver_queries.QUERIES["address_fingerprints"](spark, SMALL).collect()
+    assert len(got) == len(c) and all(r["fingerprint"] == hmac.new(f"salt-{c[r['c_custkey']]['c_nationkey']}".encode(), c[r["c_custkey"]]["c_name"].encode(), hashlib.sha256).hexdigest() for r in got)
+
+
 def test_streaming_admission(spark, tmp_path):
     from sparkvet.streaming import admission as streaming
 

