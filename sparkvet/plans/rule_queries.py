@@ -220,7 +220,7 @@ def report_alerts_outside_tools(spark, table):
 @query(f"""WITH {ALERT_SQL}, {TOOL_SQL}, h AS (SELECT pkg, arg_min(index, ord) AS i FROM a JOIN t USING (pkg, tool) GROUP BY pkg)
 SELECT pkg, coalesce(any_value(h.i), min(index) FILTER (WHERE level = 'danger'), min(index) FILTER (WHERE level = 'warn'), 0) AS index FROM t LEFT JOIN h USING (pkg) GROUP BY pkg""")
 def report_default_tool(spark, table):
-    return report.default_tool(_tools(table), _alerts(table).where("ord % 7 = 0 AND colour = 'red' OR ord % 7 > 0"))
+    return report.default_tool(_tools(table), _alerts(table))
 
 
 @query(f"""WITH {FINDING_SQL}, p AS (SELECT pkg, tool, CASE WHEN line % 3 = 0 THEN file || ':' || line ELSE 'g' || (line % 4) || '() · ' || file || ':' || line END AS place, min(ord) AS o FROM e WHERE location_kind = 'server_code' GROUP BY ALL),

@@ -96,6 +96,14 @@ def test_packages_end_to_end(spark):
     assert ("installer", "R08") not in got and ("runner", "R09") not in got
 
 
+def test_default_tool_falls_back(spark):
+    from sparkvet.operators import report
+
+    tools = spark.createDataFrame([("a", "x", 0, "none"), ("a", "y", 1, "warn"), ("a", "z", 2, "danger"), ("b", "x", 0, "none"), ("b", "y", 1, "warn"), ("c", "x", 0, "none"), ("d", "x", 0, "danger"), ("d", "y", 1, "none")], "pkg string, tool string, index int, level string")
+    alerts = spark.createDataFrame([("d", None, 0), ("d", "gone", 1), ("d", "y", 2), ("c", None, 3)], "pkg string, tool string, ord int")
+    assert sorted(tuple(r) for r in report.default_tool(tools, alerts).collect()) == [("a", 2), ("b", 1), ("c", 0), ("d", 1)]
+
+
 def test_address_fingerprints(spark):
     import hashlib
     import hmac
