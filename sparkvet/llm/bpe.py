@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ɏ]+")
 GAP = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 LONGEST_KEPT = 40
+MARKS = frozenset(b"%c" % c for c in b".,;:!?)")
 
 
 class Irregular(Exception):
@@ -81,16 +83,25 @@ class PieceEncoder:
 
     def _pre_token(self, text: str) -> bytes:
         mapped = text.encode().decode("latin-1").translate(self.letters)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _word(self, letters: bytes) -> bytes:
+        """Ids of a word of ASCII letters that follows a single space; such letters stand for themselves in the byte alphabet."""
+        text = letters.lower().decode() if self.words else "\u0120" + letters.decode()
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def _spaced(self, piece: bytes) -> bytes:
         """Ids of a piece that follows a single space."""
         if piece.isalpha():
-            return self.pre[piece.lower().decode() if self.words else " " + piece.decode()]
+            return self._word(piece)
+        if piece[-1:] in MARKS and piece[:-1].isalpha():  # a mark behind a word is a pre-token of its own
+            return self.spaced[piece[:-1]] + self.pre[piece[-1:].decode()]
         text = piece.decode()
+        if text.isalpha() and PLAIN.fullmatch(text):  # one pre-token
+            return self._pre_token(text.lower() if self.words else " " + text)
         if self.words:
             return self._plain(text) if text else b""
         if not text or text[0].isspace() or text[-1].isspace():
