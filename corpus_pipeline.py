@@ -14,7 +14,7 @@ STAGES = [
     ("best-fit packing", stages.pack_sequences),
 ]
 
-#: Two stages apply fitted models and one a tokenizer, which SQL cannot express; tests hold the stages against brute force.
+#: Two stages apply fitted models and one a tokenizer, which SQL cannot express; tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
