@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder; without one set, a folder of the warehouse serves."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -25,7 +25,7 @@ def walk(roots: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
     calls = edges.groupBy("caller", "callee").agg(F.min("at").alias("at"))
     start = roots.select("root", "node").distinct()
     frontier = start.select("root", "node", F.lit(0).alias("depth"), F.array("node").alias("chain"), F.row_number().over(Window.partitionBy("root").orderBy("node")).cast("long").alias("ord"))
-    frontier = _cut(frontier)
+    frontier = cut(frontier)
     seen = frontier
     for d in range(1, depth + 1):
         queued = frontier.select(F.col("root").alias("root_"), F.col("node").alias("node_"), F.col("ord").alias("po"), F.col("chain").alias("pc"))
@@ -34,7 +34,7 @@ def walk(roots: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
         fresh = met.join(known, (F.col("root") == F.col("r")) & (F.col("node") == F.col("n")), "left_anti")
         first = fresh.groupBy("root", "node").agg(F.min(F.struct("po", "at", "pc")).alias("x"))
         queue = Window.partitionBy("root").orderBy("x.po", "x.at", "node")
-        frontier = _cut(first.select("root", "node", F.lit(d).alias("depth"), F.concat("x.pc", F.array("node")).alias("chain"), F.row_number().over(queue).cast("long").alias("ord")))
+        frontier = cut(first.select("root", "node", F.lit(d).alias("depth"), F.concat("x.pc", F.array("node")).alias("chain"), F.row_number().over(queue).cast("long").alias("ord")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)  # each round stands in a checkpoint of its own
@@ -51,15 +51,15 @@ def cut_off(reached: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
 
 def closure(start: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """All (node) reachable from start (node) over edges (caller, callee), start included; rounds stop when nothing is new."""
-    seen = _cut(start.select("node").distinct())
+    seen = cut(start.select("node").distinct())
     frontier = seen
     for i in range(1, most_rounds):
         met = frontier.join(edges, F.col("node") == F.col("caller")).select(F.col("callee").alias("node")).distinct()
         known = seen.select(F.col("node").alias("n"))
-        frontier = _cut(met.join(known, F.col("node") == F.col("n"), "left_anti"))
+        frontier = cut(met.join(known, F.col("node") == F.col("n"), "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
         if i % 16 == 0:
-            seen = _cut(seen)  # keeps the plan small
+            seen = cut(seen)  # keeps the plan small
     raise RuntimeError("closure did not settle")

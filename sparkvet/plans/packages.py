@@ -14,7 +14,7 @@ from sparkvet.sources import python_facts
 def views(files: DataFrame) -> dict[str, DataFrame]:
     """The rule views that Python facts give. files: pkg, path, content."""
     facts = python_facts.extract(files).withColumn("location_kind", paths.location_kind(F.col("path")))
-    facts = facts.select("*", F.xxhash64("pkg", "path", "start", "end", "fact", "name").alias("id")).persist()
+    facts = graph.cut(facts)  # files are read once; every view below starts from the written facts
     functions = facts.where("fact = 'function'").select("pkg", "path", F.col("name").alias("function"), F.col("start").alias("fs"), F.col("end").alias("fe"), F.concat_ws("\u0001", "pkg", "path", F.col("start").cast("string")).alias("node"))
     tools = facts.where("fact = 'tool'").select("pkg", "path", F.col("name").alias("tool"), F.col("detail").alias("description"), "start", "location_kind", "extra")
     parameters = F.transform(F.filter(F.split(F.coalesce(F.col("extra")["parameters"], F.lit("")), ","), lambda p: p != ""), lambda p: F.struct(p.alias("name"), F.lit(None).cast("string").alias("description")))
@@ -39,7 +39,7 @@ def views(files: DataFrame) -> dict[str, DataFrame]:
         (F.col("extra")["pasted"] == "true").alias("pasted"), F.col("extra")["role"].alias("role"), F.col("path").alias("file"), "line", F.col("extra")["steps"].cast("int").alias("steps"), F.array("path").alias("files"),
     )
     installers = facts.where(F.col("path").rlike(r"(?i)(?:^|/)[^/]*(?:setup|install)[^/]*\.py\z") & (F.col("path") != "setup.py")).groupBy("pkg").agg(F.collect_set("path").alias("files"))
-    return {
+    found = {
         "flows": rules.complete(flows, "flows"),
         "install_commands": installers,
         "tools": tool_view,
@@ -48,6 +48,7 @@ def views(files: DataFrame) -> dict[str, DataFrame]:
         "sensitive_paths": texts.select("pkg", "file", "line", F.explode(tx.sensitive_paths(F.col("text"))).alias("x")).select("pkg", "file", "line", "x.kind", "x.match"),
         "unread": facts.where("fact in ('parse_error', 'skipped', 'flow_gap') AND location_kind = 'server_code'").select("pkg", "fact", "path"),
     }
+    return {name: graph.cut(view) for name, view in found.items()}  # rules read them many times
 
 
 def alerts(spark: SparkSession, found: dict[str, DataFrame]) -> DataFrame:
