@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 _TABLE = bytes(32 if chr(b).isspace() and b < 128 else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
+BLOCK = 1 << 20  # subwords of the sample that are summed at a time
 MULTIPLIER, MIXER = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -111,7 +112,8 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int, prior: np.ndarra
     table = rng.normal(0, 0.01, (1 << bits, dim))
     soft = rng.normal(0, 0.1, (dim, classes))
     sizes_of = np.bincount(labels, minlength=classes)
-    with_it = np.stack([np.bincount(index[(labels == k)[rows]], minlength=1 << bits) for k in range(classes)], 1)
+    blocks = [slice(a, a + BLOCK) for a in range(0, len(index), BLOCK)]  # numpy counts in 64 bits, so a block at a time keeps copies small
+    with_it = np.stack([sum(np.bincount(index[b][(labels == k)[rows[b]]], minlength=1 << bits) for b in blocks) for k in range(classes)], 1)
     for k in range(min(classes, dim)):
         here, rest = sizes_of[k], sizes_of.sum() - sizes_of[k]
         least = min(here, rest)  # as if both sides had as many texts
@@ -131,7 +133,7 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int, prior: np.ndarra
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
         error = (p - y) * weight[:, None]
-        g = np.stack([np.bincount(index, value * error[rows, k].astype(np.float32), 1 << bits) for k in range(classes)], 1)
+        g = np.stack([sum(np.bincount(index[b], value[b] * error[rows[b], k].astype(np.float32), 1 << bits) for b in blocks) for k in range(classes)], 1)
         gradients = [g @ soft.T + decay * table, table.T @ g, error.sum(0)]
         for i, d in enumerate(gradients):
             first[i] = 0.9 * first[i] + 0.1 * d
