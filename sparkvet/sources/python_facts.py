@@ -1,24 +1,15 @@
 """Facts of Python source files, read without running them: functions, calls, tools, findings, flows, strings, unread files.
 
-One row a fact: pkg, path, fact, name, detail, start, end, line, extra (map). Files are independent, so this is a map over rows; what
-relates files is left to joins. A file that doesn't parse gives one parse_error.
+A file that doesn't parse gives one parse_error. Tools that are listed as objects (extra `listed`) start at the object; what they run is told by
+`dispatch` rows (blocks under a comparison with a name) and `call_handler` rows, which may lie in other files.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from sparkvet.functions import paths
-from sparkvet.session import ensure_importable
 from sparkvet.sources import python_flow
 
-FACT = "pkg string, path string, fact string, name string, detail string, start long, end long, line int, extra map<string,string>"
-
 #: Capability of an imported name: first match of (kind, name, capability); a trailing * stands for the rest.
 API = [
     ("module", "subprocess.*", "exec"), ("module", "os.system", "exec"), ("module", "os.popen", "exec"), ("module", "os.exec*", "exec"),
@@ -56,6 +47,8 @@ class _File(ast.NodeVisitor):
             self.lines.append(self.lines[-1] + len(line))
         self.imports: dict[str, str] = {}
         self.constants: dict[str, str] = {}
+        self.added: list[tuple[ast.Call, str | None]] = []
+        self.functions: dict[str, ast.FunctionDef | ast.AsyncFunctionDef] = {}
 
     def at(self, node: ast.AST) -> int:
         return self.lines[node.lineno - 1] + node.col_offset
@@ -113,19 +106,49 @@ class _File(ast.NodeVisitor):
 
     def _function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
         self.add("function", node, node.name)
+        self.functions.setdefault(node.name, node)
         for d in node.decorator_list:
             call = d if isinstance(d, ast.Call) else None
             target = call.func if call else d
             name, imported = self.qualified(target)
             if name and (name.endswith(".tool") or imported and name.endswith(".tool") or name == "tool" and imported):
                 self._tool(node, call)
+            elif name and name.endswith(".call_tool"):
+                self.add("call_handler", node, None, node.name)
         self.generic_visit(node)
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
 
-    def _tool(self, node, call: ast.Call | None) -> None:
+    def add_tools(self) -> None:
+        """Tools whose function is handed over in a call; functions of a file are known only at its end."""
+        for call, function in self.added:
+            node = self.functions.get(function)
+            if node is None:
+                self.add("flow_gap", call, "handler_unknown", function)
+            else:
+                self._tool(node, call, 1)
+
+    def visit_If(self, node: ast.If) -> None:
+        t = node.test
+        if isinstance(t, ast.Compare) and len(t.ops) == 1 and isinstance(t.ops[0], ast.Eq):
+            for side in (t.left, t.comparators[0]):
+                if isinstance(side, ast.Constant) and isinstance(side.value, str):
+                    last = node.body[-1]
+                    self.rows.append((self.pkg, self.path, "dispatch", side.value, None, self.at(node.body[0]), self.end(last), node.lineno, {}))
+        self.generic_visit(node)
+
+    def _listed(self, node: ast.Call, words: dict[str, ast.expr]) -> None:
+        name, description = self.text(words["name"])[0], self.text(words.get("description"))
+        if name is None:
+            return self.add("flow_gap", node, "tool_name_unknown")
+        schema = words["inputSchema"]
+        fields = dict(zip([k.value for k in schema.keys if isinstance(k, ast.Constant)], schema.values, strict=False)).get("properties") if isinstance(schema, ast.Dict) else None
+        parameters = [k.value for k in fields.keys if isinstance(k, ast.Constant) and isinstance(k.value, str)] if isinstance(fields, ast.Dict) else []
+        self.add("tool", node, name, description[0] or "", listed="true", dynamic=str(description[1]).lower(), parameters=",".join(parameters))
+
+    def _tool(self, node, call: ast.Call | None, place: int = 0) -> None:
         words = {k.arg: k.value for k in call.keywords} if call else {}
-        name = self.text(words.get("name") or (call.args[0] if call and call.args else None))[0] or node.name
+        name = self.text(words.get("name") or (call.args[place] if call and len(call.args) > place else None))[0] or node.name
         description, dynamic = (self.text(words["description"]) if "description" in words else (ast.get_docstring(node) or "", False))
         hints = {}
         if isinstance(words.get("annotations"), ast.Dict):
@@ -143,6 +166,12 @@ class _File(ast.NodeVisitor):
             for a in (*node.args, *(k.value for k in node.keywords)):
                 if isinstance(a, ast.Name):
                     self.add("call", node, a.id, a.id, imported="argument")
+            words = {k.arg: k.value for k in node.keywords}
+            handed = node.args[0] if node.args else words.get("fn")
+            if "." in name and name.endswith((".add_tool", ".from_function")) and isinstance(handed, (ast.Name, ast.Attribute)):
+                self.added.append((node, handed.id if isinstance(handed, ast.Name) else handed.attr))
+            elif name.rpartition(".")[2] == "Tool" and "name" in words and "inputSchema" in words:
+                self._listed(node, words)
             self._finding(node, name, imported)
         self.generic_visit(node)
 
@@ -189,9 +218,11 @@ def facts_of(pkg: str, path: str, source: bytes) -> list[tuple]:
     try:
         tree = ast.parse(source)
         reader.visit(tree)
+        reader.add_tools()
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # what can't be read to the end counts as unread
         return [(pkg, path, "parse_error", type(e).__name__, str(e)[:200], 0, len(source), getattr(e, "lineno", None) or 0, {})]
-    tools = [(r[3], r[8]["function"]) for r in reader.rows if r[2] == "tool"]
+    tools = [(r[3], r[8]["function"]) for r in reader.rows if r[2] == "tool" and "function" in r[8]]
+    tools += [(None, r[4]) for r in reader.rows if r[2] == "call_handler"]
     try:
         found, gaps = python_flow.flows(reader, tree, tools)
     except (RecursionError, MemoryError) as e:
@@ -202,19 +233,3 @@ def facts_of(pkg: str, path: str, source: bytes) -> list[tuple]:
         extra = {"tool": tool, "kind": h.label.kind, "pasted": str(h.label.pasted).lower(), "role": h.role, "path_kinds": ",".join(h.path_kinds), "steps": str(h.steps)}
         reader.rows.append((pkg, path, "flow", h.sink, h.label.source, h.offset, h.offset, h.line, {k: v for k, v in extra.items() if v}))
     return reader.rows
-
-
-def extract(files: DataFrame, largest: int = 5_000_000) -> DataFrame:
-    """Fact rows of the Python files among files (pkg, path, content); a file over `largest` bytes is recorded, not read."""
-    kept = files.where(F.endswith("path", F.lit(".py")) & ~paths.is_ignored(F.col("path")))
-    big = kept.where(F.octet_length("content") > largest).select("pkg", "path", F.lit("skipped").alias("fact"), F.lit("size").alias("name"), F.lit(None).cast("string").alias("detail"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("end"), F.lit(0).alias("line"), F.create_map().cast("map<string,string>").alias("extra"))
-
-    ensure_importable(files.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in FACT.split(", ")]
-        for pdf in batches:
-            rows = [r for p, f, c in zip(pdf["pkg"], pdf["path"], pdf["content"], strict=True) for r in facts_of(p, f, bytes(c))]
-            yield pd.DataFrame(rows, columns=names)
-
-    return kept.where(F.octet_length("content") <= largest).select("pkg", "path", "content").mapInPandas(run, FACT).unionByName(big)

@@ -1,5 +1,6 @@
 import io
 import tarfile
+import time
 import zipfile
 
 import pytest
@@ -160,3 +161,88 @@ def test_odd_requests(text, code):
     from sparkvet.functions import inputs
 
     assert inputs.parse(text)["error_code"] == code
+
+
+def js(source, path="a.ts"):
+    from sparkvet.sources import javascript_facts
+
+    return javascript_facts.facts_of("p", path, source.encode())
+
+
+def test_javascript_tools():
+    rows = js(
+        """server.tool("run", "Runs " + "it", { command: z.string() }, async ({ command }) => { await go(command) });
+server.registerTool('read', { title: "R", description: `d`, inputSchema: { p: z.string() }, annotations: { readOnlyHint: true } }, readIt);
+async function readIt({ p }: { p: string }): Promise<string> { return p }
+mcp.addTool({ name: "add", description: "Adds", parameters: z.object({ a: z.number(), b: z.number() }), execute: async (args) => up(args.a) });
+const tools = [{ name: "one", description: "1", inputSchema: { type: "object", properties: { q: {} } } }];
+s.setRequestHandler(CallToolRequestSchema, async (r) => { switch (r.params.name) { case "one": { f(); break } default: throw 1 } if (r.params.name === "two") { g() } });
+server.tool(unknown, () => 1);
+"""
+    )
+    tools = {r[3]: r for r in rows if r[2] == "tool"}
+    assert {k: (r[4], r[8]["parameters"]) for k, r in tools.items()} == {"run": ("Runs it", "command"), "read": ("d", "p"), "add": ("Adds", "a,b"), "one": ("1", "q")}
+    assert tools["read"][8]["read_only"] == "true" and tools["read"][8]["title"] == "R" and tools["one"][8]["listed"] == "true"
+    starts = {r[5]: r[3] for r in rows if r[2] == "function"}
+    assert [starts[tools[t][5]] for t in ("run", "read", "add")] == [None, "readIt", "execute"]
+    assert [r[3] for r in rows if r[2] == "dispatch"] == ["one", "two"] and len([r for r in rows if r[2] == "call_handler"]) == 1
+    assert {r[3] for r in rows if r[2] == "flow_gap"} == {"tool_name_unknown", "language"}
+
+
+def test_javascript_findings():
+    rows = js(
+        """import fs, { readFileSync as rf } from 'node:fs'; import * as cp from "child_process"; const { promisify } = require('util');
+const ex = promisify(cp.exec); const BASE = "https://api.example.com"; const { TOKEN } = process.env; const re = /[/"']/g; // exec("x")
+ex('a'); eval(c); rf('b'); fs.rmSync('c'); fs.promises.writeFile('d', ''); process.env.KEY; process.env[`A_${x}`]; require(x); require(y + '.json');
+fetch(`${BASE}/v1/${x}`, { method: 'POST' }); fetch(`https://${host}/`); axios.get('https://b.example'); /* fetch('c') */
+"""
+    )
+    found = [(r[3], r[4]) for r in rows if r[2] == "finding"]
+    assert ("env_read", "TOKEN") in found and ("env_read", "KEY") in found and ("env_read", None) in found
+    assert [f for f in found if f[0] in ("exec", "dynamic_code")] == [("exec", "child_process.exec"), ("dynamic_code", "eval"), ("dynamic_code", "require")]
+    assert [f for f in found if f[0].startswith("fs_")] == [("fs_read", "fs.readFileSync"), ("fs_delete", "fs.rmSync"), ("fs_write", "fs.promises.writeFile")]
+    sent = [(r[8]["url_kind"], r[8].get("url_host"), r[8]["sends"]) for r in rows if r[2] == "finding" and r[3] == "network"]
+    assert sent == [("dynamic", "api.example.com", "true"), ("dynamic", None, "false")]  # axios isn't imported here
+
+
+@pytest.mark.parametrize("source", ["", "a(" * 3000, "(" * 30000 + ")" * 30000, "`${" * 2000 + "}`" * 2000, "/*", "'", "`\\", "server.tool()", "=>", "import", "case 'x':", "a=>" * 3000, "const a=" * 3000, "f(a," * 2000 + "1" + ")" * 2000, "[{name:" * 300 + "1" + ",inputSchema:1}]" * 300])
+def test_odd_javascript_ends_soon(source):
+    began = time.time()
+    js(source)
+    assert time.time() - began < 10
+
+
+def test_python_tools_by_call_and_list():
+    from sparkvet.sources import python_facts
+
+    source = """
+from mcp import types
+def add(a, b):
+    'Adds.'
+mcp.add_tool(add, name='plus')
+mcp.add_tool(gone)
+@server.list_tools()
+async def list_tools():
+    return [types.Tool(name='q', description='Q', inputSchema={'type': 'object', 'properties': {'x': {}}})]
+@server.call_tool()
+async def call(name, arguments):
+    if name == 'q':
+        os.system(arguments['x'])
+"""
+    rows = python_facts.facts_of("p", "a.py", source.encode())
+    assert {(r[3], r[4], r[8]["parameters"]) for r in rows if r[2] == "tool"} == {("plus", "Adds.", "a,b"), ("q", "Q", "x")}
+    assert [(r[3]) for r in rows if r[2] == "dispatch"] == ["q"] and [r[4] for r in rows if r[2] == "call_handler"] == ["call"]
+    assert ("flow_gap", "handler_unknown", "gone") in {(r[2], r[3], r[4]) for r in rows}
+
+
+def test_packages_of_javascript(spark):
+    from sparkvet.plans import packages
+
+    files = packages.example_files(spark).where("pkg IN ('nodejs', 'listed', 'quiet')")
+    v = packages.views(files)
+    own = {(r["tool"], r["capability"]) for r in v["findings"].where("tool IS NOT NULL").collect()}
+    assert own == {("run", "exec"), ("del", "fs_delete"), ("see", "fs_read")}
+    assert [(r["file"], r["downloads"]) for r in v["install_scripts"].collect()] == [("package.json", True)]
+    assert {r["pkg"] for r in v["unread"].collect()} == {"nodejs", "listed"}  # data flow of JavaScript isn't read
+    fired = {(r["pkg"], r["rule"]) for r in packages.rules.alerts(spark, v, ["R10", "O08"]).collect()}
+    assert {("nodejs", "R10"), ("nodejs", "O08")} <= fired and not any(p == "quiet" for p, _ in fired)
