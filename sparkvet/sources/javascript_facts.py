@@ -1,8 +1,8 @@
 """Facts of JavaScript and TypeScript source files, read without running them. Rows are those of the Python reader; places are characters.
 
 A file is cut into tokens, brackets are matched, and calls, functions, imports and tools are told by the tokens around a bracket: no grammar, no
-recursion over the tree, so deep or odd files cost no stack. Files whose brackets or literals don't close give one parse_error. Data flow isn't
-read: each file gives a flow_gap, so that no package passes for fully read because of it.
+recursion over the tree, so deep or odd files cost no stack. Files whose brackets or literals don't close give one parse_error. Data flow is
+read in part: each file gives a flow_gap, so that no package passes for fully read because of it.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+from sparkvet.sources import javascript_flow
+
 #: Words after which a slash starts a pattern, and words that a bracket may follow without being a call.
 BEFORE_PATTERN = ["return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield", "instanceof"]
 NO_CALL = ["if", "for", "while", "switch", "catch", "with", "function", "return", "await", "typeof", "void", "throw", "yield", "case", "in", "of", "delete", "else", "do", "super", "new", "async"]
@@ -444,18 +446,22 @@ class _File:
                 self.add("call_handler", h, self.begins[h][1])
         self._finding(first, last, name, imported, arguments)
 
+    def capability(self, name: str, imported: bool) -> str | None:
+        """What a call of a qualified name can do."""
+        if not imported:
+            return GLOBAL.get(name)
+        module, _, end = name.rpartition(".")
+        if module in FILE_MODULES:
+            return next((c for c, names in FILES.items() if end.removesuffix("Sync") in names), None)
+        hit = lambda p: name == p.rstrip("*.") or name.startswith(p[:-1].rstrip(".") + ".") if p.endswith("*") else name == p
+        return next((c for p, c in IMPORTED if hit(p)), None)
+
     def _finding(self, first: int, last: int, name: str, imported: bool, arguments: list[tuple[int, int]]) -> None:
-        found, module, end = None, name.rpartition(".")[0], name.rpartition(".")[2]
-        if imported and (module in FILE_MODULES or module == "fs-extra.default"):
-            found = next((c for c, names in FILES.items() if end.removesuffix("Sync") in names), None)
-        elif imported:
-            hit = lambda p: name == p.rstrip("*.") or name.startswith(p[:-1].rstrip(".") + ".") if p.endswith("*") else name == p
-            found = next((c for p, c in IMPORTED if hit(p)), None)
-        elif name in ("require", "import"):
+        end = name.rpartition(".")[2]
+        found = self.capability(name, imported)
+        if name in ("require", "import") and not imported:
             value, dynamic = self.text(arguments[0] if arguments else None)
             found = "dynamic_code" if dynamic and not (value or "").endswith(".json") else None
-        else:
-            found = GLOBAL.get(name)
         if found is None:
             return
         extra = {}
@@ -487,6 +493,16 @@ def facts_of(pkg: str, path: str, source: bytes) -> list[tuple]:
     reader.read_imports()
     reader.read_functions()
     reader.read_calls()
-    if reader.begins:
-        reader.rows.append((pkg, path, "flow_gap", "language", None, 0, len(text), 0, {}))
+    try:
+        found, gaps = javascript_flow.flows(reader)
+    except (RecursionError, MemoryError) as e:
+        found, gaps = [], [type(e).__name__]
+    for gap in [*gaps, *(["language"] if reader.begins else [])]:
+        reader.rows.append((pkg, path, "flow_gap", gap, None, 0, len(text), 0, {}))
+    reader.rows += [flow_row(pkg, path, tool, h) for tool, h in found]
     return reader.rows
+
+
+def flow_row(pkg: str, path: str, tool: str | None, h: javascript_flow.Hit) -> tuple:
+    extra = {"tool": tool, "kind": h.label.kind, "pasted": str(h.label.pasted).lower(), "role": h.role, "path_kinds": ",".join(h.path_kinds), "steps": str(h.steps)}
+    return pkg, path, "flow", h.sink, h.label.source, h.offset, h.offset, h.line, {k: v for k, v in extra.items() if v}
