@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkvet.functions import paths
 from sparkvet.functions import text as tx
 from sparkvet.operators import graph, joins, rules, verdict
-from sparkvet.sources import code_facts
+from sparkvet.sources import code_facts, manifests
 
 
 def views(files: DataFrame) -> dict[str, DataFrame]:
@@ -57,6 +57,7 @@ def views(files: DataFrame) -> dict[str, DataFrame]:
         "strings": texts,
         "sensitive_paths": texts.select("pkg", "file", "line", F.explode(tx.sensitive_paths(F.col("text"))).alias("x")).select("pkg", "file", "line", "x.kind", "x.match"),
         "install_scripts": install_scripts(files),
+        "servers": manifests.importing_folders(facts),
         "unread": facts.where("fact in ('parse_error', 'skipped', 'flow_gap') AND location_kind = 'server_code'").select("pkg", "fact", "path").unionByName(loose),
     }
     return {name: graph.cut(view) for name, view in found.items()}  # rules read them many times
@@ -79,9 +80,10 @@ def verdicts(spark: SparkSession, files: DataFrame) -> DataFrame:
     v = views(files)
     unread = v["unread"].groupBy("pkg").agg(F.bool_or(F.col("fact") == "parse_error").alias("parse_errors"), F.bool_or(F.col("fact") == "skipped").alias("skipped_files"), F.bool_or(F.col("fact") == "flow_gap").alias("calls_not_followed"))
     tools = v["tools"].groupBy("pkg").agg(F.count("*").alias("n"))
-    p = files.select("pkg").distinct().join(unread, "pkg", "left").join(tools, "pkg", "left")
-    reading = verdict.reading_codes({"tools_missing": F.col("n").isNull(), "parse_errors": F.col("parse_errors"), "skipped_files": F.col("skipped_files"), "calls_not_followed": F.col("calls_not_followed")})
-    packages = p.select("pkg", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error_code"), F.array().cast("array<string>").alias("notes"), reading.alias("reading"))
+    servers = manifests.detect(files, manifests.read(files), v["servers"])
+    p = servers.join(unread, "pkg", "left").join(tools, "pkg", "left")
+    reading = verdict.reading_codes({"compiled_files": F.col("partly_compiled"), "tools_missing": F.col("n").isNull(), "parse_errors": F.col("parse_errors"), "skipped_files": F.col("skipped_files"), "calls_not_followed": F.col("calls_not_followed")})
+    packages = p.select("pkg", "status", F.lit(None).cast("string").alias("error_code"), F.array().cast("array<string>").alias("notes"), reading.alias("reading"))
     return verdict.verdicts(packages, alerts(spark, v).select("pkg", "colour"))
 
 

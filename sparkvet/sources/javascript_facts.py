@@ -317,6 +317,8 @@ class _File:
                     while k > max(i - 40, 0) and not (self.t(k) == ":" and self.t(k - 1) == ")"):
                         k -= 1
                     j = k - 1 if self.t(k) == ":" and self.t(k - 1) == ")" else j
+                if self.t(j) != ")" and (j < 0 or self.kind(j) != "name"):
+                    continue  # no parameters: not a function
                 first = self.partner[j] if self.t(j) == ")" else j
                 opened = first if self.t(j) == ")" else -1
                 first -= self.t(first - 1) == "async"

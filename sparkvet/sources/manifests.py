@@ -105,33 +105,59 @@ def manifest_of(path: str, content: bytes) -> tuple | None:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """MANIFEST rows of files (pkg, path, content)."""
+    """MANIFEST rows of files (pkg, path, content); a file without content gives none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(pkg, path, *m) for pkg, path, content in zip(pdf["pkg"], pdf["path"], pdf["content"], strict=True) if (m := manifest_of(path, bytes(content)))]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    return files.select("pkg", "path", "content").mapInPandas(run, MANIFEST)
+    return files.where("content IS NOT NULL").select("pkg", "path", "content").mapInPandas(run, MANIFEST)
 
 
-def detect(files: DataFrame, manifests: DataFrame, most: int = 50) -> DataFrame:
-    """pkg, status (ok, multiple_servers, unsupported_language, no_tools_found, not_a_server), folder, language, candidates, truncated.
+def importing_folders(facts: DataFrame) -> DataFrame:
+    """pkg, folder, language: where the first file, by path, imports an SDK; files of tests don't count. facts: pkg, path, fact, name."""
+    python = F.col("path").endswith(".py")
+    names = {language: "|".join(re.escape(s) for s in SDKS[language]) for language in ("python", "javascript")}
+    known = F.when(python, F.col("name").rlike(rf"^(?:{names['python']})(?:\.|\z)")).otherwise(F.col("name").rlike(rf"^(?:{names['javascript']})(?:/|\z)"))
+    found = facts.where("fact = 'import'").where(known & (paths.location_kind(F.col("path")) != "test_or_example"))
+    first = found.groupBy("pkg").agg(F.min("path").alias("path"))
+    folder = F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*)/[^/]*\z", 1), F.lit("")), F.lit("."))
+    return first.select("pkg", folder.alias("folder"), F.when(F.col("path").endswith(".py"), "python").otherwise("javascript").alias("language"))
 
-    Candidates are folders whose manifest names an SDK; test folders are dropped when others remain.
+
+def detect(files: DataFrame, manifests: DataFrame, imports: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """pkg, status (ok, compiled, multiple_servers, unsupported_language, no_tools_found, not_a_server), folder, language, candidates, truncated, partly_compiled.
+
+    Candidates are folders whose manifest names an SDK; test folders are dropped when others remain. Without any, the folder of `imports` (see
+    importing_folders) counts. JavaScript with a TypeScript file or settings in its folder is typescript. A server of binaries without source is compiled.
     """
     c = manifests.where("sdk IS NOT NULL").withColumn("test", paths.in_test_folder(F.concat("folder", F.lit("/x"))))
     first = Window.partitionBy("pkg", "folder").orderBy("path")
     c = c.withColumn("k", F.row_number().over(first)).where("k = 1")
     c = c.withColumn("others", F.bool_or(~F.col("test")).over(Window.partitionBy("pkg"))).where("NOT (test AND others)")
     n = c.groupBy("pkg").agg(F.count("*").alias("candidates"), F.min_by("folder", "folder").alias("folder"), F.min_by("language", "folder").alias("language"))
-    code = files.groupBy("pkg").agg(F.bool_or(F.col("path").rlike(r"\.(py|[cm]?[jt]sx?)\z")).alias("code"), F.count("*").alias("files"))
-    out = code.join(n, "pkg", "left")
+    if imports is not None:
+        n = n.unionByName(imports.join(n.select("pkg"), "pkg", "left_anti").withColumn("candidates", F.lit(1).cast("long")))
+    kept = files.where(~paths.is_ignored(F.col("path"))).join(n.where("candidates = 1").select("pkg", "folder"), "pkg", "left")
+    here = paths.inside(F.col("path"), F.col("folder"))
+    source = F.col("path").rlike(r"\.(?:py|[cm]?[jt]sx?)\z") & ~F.col("path").rlike(r"\.d\.[cm]?ts\z")
+    typed = F.col("path").rlike(r"(?:^|/)tsconfig(?:\.[^/]*)?\.json\z|\.[cm]?tsx?\z") & ~F.col("path").rlike(r"\.d\.[cm]?ts\z")
+    binary = F.coalesce(paths.binary_signature(F.col("content")).isNotNull(), F.lit(False))
+    code = kept.groupBy("pkg").agg(F.bool_or(source).alias("code"), F.bool_or(here & typed).alias("typed"), F.bool_or(here & binary).alias("binary"), F.bool_or(here & source).alias("readable"))
+    out = files.select("pkg").distinct().join(code, "pkg", "left").join(n, "pkg", "left")  # a package of ignored files alone has a row too
+    read = F.col("language").isin("python", "javascript")
     status = (
         F.when(F.col("candidates") > 1, "multiple_servers")
-        .when((F.col("candidates") == 1) & F.col("language").isin("python", "javascript"), "ok")
+        .when((F.col("candidates") == 1) & read & F.col("binary") & ~F.col("readable"), "compiled")
+        .when((F.col("candidates") == 1) & read, "ok")
         .when(F.col("candidates") == 1, "unsupported_language")
         .when(F.col("code"), "no_tools_found")
         .otherwise("not_a_server")
     )
-    return out.select("pkg", status.alias("status"), F.when(F.col("candidates") == 1, F.col("folder")).alias("folder"), F.when(F.col("candidates") == 1, F.col("language")).alias("language"), F.least(F.coalesce("candidates", F.lit(0)), F.lit(most)).alias("candidates"), F.coalesce(F.col("candidates") > most, F.lit(False)).alias("truncated"))
+    one = F.col("candidates") == 1
+    language = F.when((F.col("language") == "javascript") & F.col("typed"), "typescript").otherwise(F.col("language"))
+    return out.select(
+        "pkg", status.alias("status"), F.when(one, F.col("folder")).alias("folder"), F.when(one, language).alias("language"), F.least(F.coalesce("candidates", F.lit(0)), F.lit(most)).alias("candidates"),
+        F.coalesce(F.col("candidates") > most, F.lit(False)).alias("truncated"), F.coalesce(one & read & F.col("binary") & F.col("readable"), F.lit(False)).alias("partly_compiled"),
+    )

@@ -90,7 +90,7 @@ def test_fact_rules(spark):
 
 def test_packages_end_to_end(spark):
     got = {r["pkg"]: r["colour"] for r in packages.verdicts(spark, packages.example_files(spark)).collect()}
-    assert got == {"quiet": "green", "runner": "orange", "secretive": "red", "broken": "gray", "sender": "orange", "shelly": "red", "leaky": "red", "installer": "orange"}
+    assert got == {"quiet": "green", "runner": "orange", "secretive": "red", "broken": "gray", "sender": "orange", "shelly": "red", "leaky": "red", "installer": "orange", "nodejs": "red", "listed": "gray"}
     got = {(r["pkg"], r["rule"]) for r in packages.alerts(spark, packages.views(packages.example_files(spark))).collect()}
     assert {("shelly", "R09"), ("leaky", "R04"), ("installer", "O10"), ("runner", "O08"), ("secretive", "R03"), ("sender", "O01"), ("sender", "O04")} <= got
     assert ("installer", "R08") not in got and ("runner", "R09") not in got

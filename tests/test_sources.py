@@ -277,3 +277,21 @@ def test_javascript_of_random_tokens():
     for _ in range(3000):
         for row in js(" ".join(chosen.choice(words) for _ in range(chosen.randint(1, 25)))):
             assert row[5] <= row[6]
+
+
+def test_detection(spark):
+    elf = b"\x7fELF" + bytes(80)
+    rows = [
+        ("ts", "srv/package.json", b'{"dependencies": {"@modelcontextprotocol/sdk": "1"}}'), ("ts", "srv/a.ts", b""),
+        ("js", "package.json", b'{"dependencies": {"fastmcp": "1"}}'), ("js", "a.js", b""), ("js", "b.so", elf),
+        ("bin", "pyproject.toml", b'[project]\ndependencies = ["mcp"]'), ("bin", "x.so", elf), ("bin", "node_modules/a.js", b""),
+        ("imp", "lib/s.py", b""), ("two", "a/requirements.txt", b"mcp"), ("two", "b/requirements.txt", b"mcp"), ("none", "README.md", b""), ("code", "x.py", b""), ("odd", "node_modules/a.js", b""), ("empty", "a.bin", None),
+    ]
+    files = spark.createDataFrame([(p, f, None if c is None else bytearray(c)) for p, f, c in rows], "pkg string, path string, content binary")
+    facts = spark.createDataFrame([("imp", "lib/s.py", "import", "mcp.server"), ("imp", "a/z.ts", "import", "fs"), ("imp", "a/tests/t.py", "import", "mcp"), ("code", "x.py", "import", "mcpx"), ("ts", "o.py", "import", "mcp")], "pkg string, path string, fact string, name string")
+    got = {r["pkg"]: r for r in manifests.detect(files, manifests.read(files), manifests.importing_folders(facts)).collect()}
+    assert {p: (r["status"], r["folder"], r["language"]) for p, r in got.items()} == {
+        "ts": ("ok", "srv", "typescript"), "js": ("ok", ".", "javascript"), "bin": ("compiled", ".", "python"), "imp": ("ok", "lib", "python"), "two": ("multiple_servers", None, None),
+        "none": ("not_a_server", None, None), "code": ("no_tools_found", None, None), "odd": ("not_a_server", None, None), "empty": ("not_a_server", None, None),
+    }
+    assert [p for p, r in got.items() if r["partly_compiled"]] == ["js"]
