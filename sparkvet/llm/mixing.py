@@ -1,17 +1,17 @@
 """Mixing to target weights with soft domain memberships.
 
-A classifier learned from a labelled table gives each document a posterior over domains. Rates r >= 0 are fitted so that the
+A classifier learned from every labelled text gives each document a posterior over domains. Rates r >= 0 are fitted so that the
 expected tokens of each domain, sum of r * tokens * posterior, match the targets: projected gradient on the least squares
 of the gaps, whitened by H = sum of tokens * posterior * posterior', from r = 1. Scaled by a document's tokens the step is one over the
 largest curvature, so the gaps never grow. A document's rate follows from its posterior and the few gradients so far, so a step is one pass
 that sums one number a domain; no rate is gathered. Passes end when the targets are met, or when a step moves nothing
 any more (targets that no rates can meet); what was reached is part of the result.
 
-A document's tokens are its bytes times the tokens a byte of its domains, by its posterior, and one end. Tokens a byte are measured with the
-tokenizer on the classifier's sample; counting all texts with it would cost more than the rest of the operator.
+A document's tokens are those that the tokenizer gives for its whole text, and one end. Texts are read twice: once those with a label, for
+the classifier's counts, and once all of them, for tokens and the shares that posteriors follow from (see subword).
 
 Defined cases: null text counts as empty (the end alone, rate of its posterior); a null doc_id takes part and stays null; repeated rows
-take part once each, and rows with one doc_id but different texts are drawn apart; null labels and labels of no document are passed over; domains that
+take part once each, and rows with one doc_id but different texts are drawn apart; a document labelled twice has the greater label, and all its rows are learned from; null labels and labels of no document are passed over; domains that
 no document can supply keep their gap; an empty table gives no rows; other columns are ignored by `rates` and kept by `mixed`.
 """
 
@@ -21,67 +21,57 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, common, subword
-from .toxicity import labelled_sample
 
 COPY_ROWS = 256  # rows of a batch of copies
 
 
 @dataclass(frozen=True)
 class Domains:
-    model: subword.Model
-    tokens_per_byte: np.ndarray
+    groups: subword.Groups
+    weights: np.ndarray
 
-    def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(posteriors, expected tokens) of texts."""
-        p = self.model.probabilities(texts)
-        return p, 1 + np.fromiter(map(len, texts), float, len(texts)) * (p @ self.tokens_per_byte)
+    def posteriors(self, texts: list[bytes]) -> np.ndarray:
+        return subword.probabilities(self.groups.shares(texts), self.weights)
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domains: int, vocabulary: str, per_class: int = 1000, longest: int = 16384) -> Domains:
-    """labels: doc_id, label (domain number). vocabulary: file of the tokenizer whose tokens are mixed."""
-    texts, y, shares = labelled_sample(docs, labels, domains, per_class, longest)
-    tokens, sizes = _token_counts(docs.sparkSession, texts, vocabulary), np.array([len(t) for t in texts], float)
-    whole = tokens.sum() / max(1.0, sizes.sum())
-    per_byte = np.array([tokens[y == k].sum() / sizes[y == k].sum() if sizes[y == k].sum() else whole for k in range(domains)])
-    return Domains(subword.train(texts, y, domains, shares, sizes=(4, 5)), per_byte)
+def _draw(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) for each document, by a hash."""
+    return F.pmod(F.xxhash64(doc_id.cast("long"), text), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def _token_counts(spark: SparkSession, texts: list[bytes], vocabulary: str) -> np.ndarray:
-    """Tokens of each text of the sample, counted by workers, so that the driver holds no tokenizer."""
+def features(docs: DataFrame, groups, vocabulary: str) -> DataFrame:
+    """doc_id, tokens, shares array<double>, draw of every row. groups: a broadcast subword.Groups."""
 
     def run(batches):
-        encode = bpe.encoder(vocabulary)
+        count = bpe.encoder(vocabulary).count
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([encode.count(t) for t in batch.column(1).to_pylist()], pa.int64())], ["i", "n"])
+            texts = batch.column(1).to_pylist()
+            n = pa.array([count(t) + 1.0 for t in texts], pa.float64())
+            yield pa.record_batch([batch.column(0), n, pa.array(list(groups.value.shares(texts)), pa.list_(pa.float64())), batch.column(2)], ["doc_id", "tokens", "shares", "draw"])
 
-    out = np.zeros(len(texts))
-    if texts:
-        rows = spark.createDataFrame(pa.table({"i": pa.array(range(len(texts)), pa.int32()), "text": pa.array(texts, pa.binary())}))
-        for i, n in rows.mapInArrow(run, "i int, n long").collect():
-            out[i] = n
-    return out
-
-
-def _draw(doc_id: Column, text: Column) -> Column:
-    """A number in [0, 1) for each document, by a hash."""
-    return F.pmod(F.xxhash64(doc_id.cast("long"), text), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    text = common.text_bytes(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), _draw(docs["doc_id"], text).alias("draw"))
+    return rows.mapInArrow(run, "doc_id long, tokens double, shares array<double>, draw double")
 
 
-def features(docs: DataFrame, domains) -> DataFrame:
-    """doc_id, tokens (expected), posterior array<double>, draw. domains: a broadcast Domains."""
+def fit_domains(docs: DataFrame, labels: DataFrame, domains: int, vocabulary: str) -> tuple[DataFrame, Domains]:
+    """(doc_id, tokens, posterior, draw of every row, the classifier). labels: doc_id, label (domain number). vocabulary: file of the tokenizer whose tokens are mixed."""
+    labels = subword.one_label(labels, domains)
+    groups = subword.grouped(docs, labels, domains, sizes=(4, 5))
+    table = common.materialize(features(docs, docs.sparkSession.sparkContext.broadcast(groups), vocabulary), "features")
+    weights = subword.fit_weights(common.materialize(table.join(labels, "doc_id").select("label", "shares"), "labelled"), groups)
 
     def run(batches):
         for batch in batches:
-            p, n = domains.value.posteriors(batch.column(1).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(list(p), pa.list_(pa.float64())), batch.column(2)], ["doc_id", "tokens", "posterior", "draw"])
+            p = subword.probabilities(subword.vectors(batch.column(2), batch.num_rows), weights) if batch.num_rows else []
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(p), pa.list_(pa.float64())), batch.column(3)], ["doc_id", "tokens", "posterior", "draw"])
 
-    text = common.text_bytes(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), _draw(docs["doc_id"], text).alias("draw"))
-    return rows.mapInArrow(run, "doc_id long, tokens double, posterior array<double>, draw double")
+    rated = table.mapInArrow(run, "doc_id long, tokens double, posterior array<double>, draw double")
+    return common.materialize(rated, "posteriors"), Domains(groups, weights)
 
 
 def rate(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -93,7 +83,7 @@ def rate(posterior: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 
 def _posteriors(batch) -> np.ndarray:
-    return np.array(batch.column("posterior").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+    return subword.vectors(batch.column("posterior"), batch.num_rows)
 
 
 def _sums(table: DataFrame, domains: int, steps: list[np.ndarray]) -> np.ndarray:
@@ -156,9 +146,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: list[float], vocabulary:
 
     labels: doc_id, label; targets: a share for each label.
     """
-    spark = docs.sparkSession
-    domains = spark.sparkContext.broadcast(fit_domains(docs, labels, len(targets), vocabulary))
-    table = common.materialize(features(docs, domains), "features")
+    table, _ = fit_domains(docs, labels, len(targets), vocabulary)
     fit = fit_rates(table, targets)
 
     def run(batches):
@@ -173,14 +161,14 @@ def rates(docs: DataFrame, labels: DataFrame, targets: list[float], vocabulary:
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: list[float], vocabulary: str) -> DataFrame:
     """The rows of docs, all columns, each as often as its copies say."""
-    domains = docs.sparkSession.sparkContext.broadcast(fit_domains(docs, labels, len(targets), vocabulary))
-    fit = fit_rates(common.materialize(features(docs, domains), "features"), targets)
+    table, domains = fit_domains(docs, labels, len(targets), vocabulary)
+    fit, domains = fit_rates(table, targets), docs.sparkSession.sparkContext.broadcast(domains)
     text = common.text_bytes(docs)
     rows = docs.select(F.struct("*").alias("row"), text.alias("text"), _draw(docs["doc_id"], text).alias("draw"))
 
     def run(batches):
         for batch in batches:
-            copies = _copies(rate(domains.value.posteriors(batch.column(1).to_pylist())[0], fit.steps), batch.column(2).to_numpy())
+            copies = _copies(rate(domains.value.posteriors(batch.column(1).to_pylist()), fit.steps), batch.column(2).to_numpy())
             ends = np.cumsum(copies)
             for a in range(0, int(ends[-1]) if len(ends) else 0, COPY_ROWS):  # a large rate makes many batches, not a large one
                 places = np.searchsorted(ends, np.arange(a, min(a + COPY_ROWS, ends[-1])), side="right")

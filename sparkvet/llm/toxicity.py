@@ -1,11 +1,10 @@
 """Toxicity scores of whole texts by the subword model of this folder.
 
-The model is fitted on a bounded sample of labelled rows: for each class the `per_class` documents that come first by a hash of
-doc_id, of those that are there with a text of up to `longest` bytes. Scores depend on the text alone.
+The model is fitted on all rows that have a label and are not held out, whole texts. Scores depend on the text alone.
 
 Defined cases: null text counts as empty and gets the score of the bias; a null doc_id is not held out; a null label is no label; a
-document labelled twice counts as toxic if any label says so; without labels of both classes every score is the share
-of toxic labels (0 without any); repeated rows are scored once each; other columns are ignored.
+document labelled twice counts as toxic if any label says so, and all its rows are learned from; without texts of both classes every score is
+the share of toxic ones (within a millionth of 0 or 1; a half without any); repeated rows are scored once each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,27 +22,20 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, classes: int, per_class: int, longest: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Texts and labels of at most classes * per_class documents, and the classes' shares of all labels. labels: doc_id, label int."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_bytes(docs).alias("text")).where(F.octet_length("text") <= longest)
-    one = labels.where(F.col("doc_id").isNotNull() & F.col("label").between(0, classes - 1)).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    shares = np.zeros(classes)
-    for label, n in one.groupBy("label").agg(F.count("*")).collect():  # a row a class
-        shares[label] = n
-    there = common.materialize(one.join(texts.select("doc_id"), "doc_id", "left_semi"), "labels")  # those that can be learned from
-    picked = None
-    for k in range(classes):
-        some = there.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = some if picked is None else picked.union(some)
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    return [bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.int64), shares / max(1, shares.sum())
-
-
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 1000, longest: int = 16384) -> subword.Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> subword.Model:
     """Learns `toxic` of labels (doc_id, toxic) from the rows whose remainder is not 0."""
     learned = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label")).where(remainder(F.col("doc_id"), folds) != 0)
-    texts, y, shares = labelled_sample(docs, learned, 2, per_class, longest)
-    return subword.train(texts, y, 2, shares)
+    learned = subword.one_label(learned, 2)
+    groups = subword.grouped(docs, learned, 2)
+    shared = docs.sparkSession.sparkContext.broadcast(groups)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array(list(shared.value.shares(batch.column(1).to_pylist())), pa.list_(pa.float64()))], ["doc_id", "shares"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_bytes(docs).alias("text")).where("doc_id IS NOT NULL")
+    shares = rows.mapInArrow(run, "doc_id long, shares array<double>")
+    return subword.linear(groups, subword.fit_weights(common.materialize(shares.join(learned, "doc_id").select("label", "shares"), "labelled"), groups))
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkvet.llm import bpe, common, embed_graph, merkle, mixing, ngram_lm, packing, queries, simhash, token_counts, token_files, toxicity, warc
+from sparkvet.llm import bpe, common, embed_graph, merkle, mixing, ngram_lm, packing, queries, simhash, subword, token_counts, token_files, toxicity, warc
 from sparkvet.llm.components import components
 
 BYTE, WORD = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.WORD_BPE)
@@ -389,6 +389,47 @@ def test_mixing(spark, docs, none):
     assert len(mixing.rates(d, odd, [0.5, 0.5], BYTE).collect()) == d.count()
 
 
+def test_mixing_learns_and_counts_whole_texts(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("aeioubcdfghklmnprst") for _ in range(r.randint(3, 9)))
+    long = {i: " ".join(word() + r.choice([" zorgling", " vexatious"]) for _ in range(1300)) for i in range(12)}  # all of domain 1, and all over 16 KB
+    rows = list(long.items()) + [(i, " ".join(word() for _ in range(40))) for i in range(12, 300)]
+    rows += [(300 + i, f"{t} {word()}") for i, t in enumerate(long.values())]  # without a label
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(300)], "doc_id long, label int")
+    assert min(len(t) for _, t in rows[:12]) > 16384
+    library = Tokenizer.from_file(BYTE)
+    out = {x["doc_id"]: x for x in mixing.rates(d, labels, [0.5, 0.5], BYTE).collect()}
+    assert all(out[i]["tokens"] == len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows)
+    assert all(out[i]["posterior"][1] > 0.9 for i in [*range(12), *range(300, 312)]) and max(out[i]["posterior"][1] for i in range(12, 300)) < 0.1
+
+
+def test_classifier_learns_from_every_row(spark):
+    d, labels = labelled(spark)
+    texts = dict(d.collect())
+    label = {x["doc_id"]: x["toxic"] for x in labels.collect()}
+    few = labels.select("doc_id", F.col("toxic").alias("label"))
+    one = subword.one_label(few, 2)
+    want, number = np.zeros((2, 1 << subword.BITS), np.int64), np.zeros(2, np.int64)
+    for i, t in texts.items():
+        number[label[i]] += 1
+        found = [b[v] for b, v in subword.grams(subword._buffer([t.encode()])[0], (4, 5), subword.BITS)]
+        want[label[i], np.unique(np.concatenate(found))] += 1
+    for rows in (d, d.repartition(7)):
+        held, n = subword.occurrences(rows.select("doc_id", F.col("text").cast("binary").alias("text")).join(one, "doc_id"), 2, (4, 5))
+        assert (held == want).all() and n.tolist() == number.tolist() == [450, 150]
+    groups = subword.grouped(d, one, 2, (4, 5))
+    x, y = groups.shares([t.encode() for t in texts.values()]), np.array([label[i] for i in texts])
+    table = spark.createDataFrame([(int(a), b) for a, b in zip(y, x.tolist(), strict=True)], "label int, shares array<double>").repartition(3)
+    weights = subword.fit_weights(table, groups)
+    gap = (subword.probabilities(x, weights) - np.eye(2)[y])[:, 1:].T @ x / len(x) + 1e-4 * x.var(0) * weights
+    assert np.abs(gap).max() < 1e-4  # the optimum over all rows
+    model = subword.linear(groups, weights)
+    assert np.allclose(model.probabilities([t.encode() for t in texts.values()]), subword.probabilities(x, weights), atol=1e-4)
+    long = ["ab " * 3000, "", "x", "größer " * 20]
+    assert all(np.array_equal(a, np.unique(np.concatenate([b[v] for b, v in subword.grams(subword._buffer([t.encode()])[0], (4, 5), subword.BITS)] or [np.zeros(0)]))) for t, a in zip(long, subword.distinct([t.encode() for t in long], (4, 5)), strict=True))
+
+
 def test_mixing_is_the_constrained_optimum(spark):
     g = np.random.default_rng(3)
     cases = [(np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5], [0.9, 0.1]]), [0.02, 0.98]), (np.array([[1.0, 0.0], [0.5, 0.5]]), [0.0, 1.0]), (g.dirichlet([0.5] * 3, 40), [0.5, 0.3, 0.2])]
