@@ -146,3 +146,8 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each tokenizer file and worker."""
     return PieceEncoder(path)
+
+
+def forget() -> None:
+    """Drops the encoders of this worker and what they keep."""
+    encoder.cache_clear()

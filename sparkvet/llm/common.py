@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,7 @@ from pyspark.sql import types as T
 from sparkvet.session import ensure_importable
 
 LONG_MIN = -(1 << 63)
+SLICE_ROWS = 1024  # rows of a batch that are handled together
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +62,28 @@ def text_bytes(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit("")).cast("binary")
 
 
+def release() -> None:
+    """Gives back what earlier tasks left in this worker, which Spark uses again for other stages: encoders with their caches, and freed memory."""
+    from . import bpe
+
+    bpe.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices, for tasks without a tokenizer; the worker gives back memory before and after them."""
+    release()
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+        del batch
+    release()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

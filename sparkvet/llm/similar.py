@@ -64,7 +64,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
     schema = kept.drop("__text").schema.add("__set", "long").add("__n", "integer").add("__fp", "long").add("__bands", T.ArrayType(T.LongType())).add("__sketch", T.ArrayType(T.LongType()))
 
     def run(batches):
-        for batch in batches:
+        for batch in common.lean(batches):
             sets, sizes, fps, cells, sketches = [], [], [], [], []
             for text in batch.column(2):
                 found = digests(text.as_py(), words)
@@ -89,7 +89,7 @@ def _sets(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int) -> Da
     texts = keyed.join(chosen, ["__id", "__th"]).dropDuplicates(["__id", "__th"]).select("__set", "__text")
 
     def run(batches):
-        for batch in batches:
+        for batch in common.lean(batches):
             made = pa.array([shingle_set(digests(t.as_py(), words)).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["__set", "shingles"])
 
@@ -105,7 +105,7 @@ def _verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, words: int, s
     x = x.join(sets.select(F.col("__set").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches):
-        for batch in batches:
+        for batch in common.lean(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -23,7 +23,7 @@ from . import common
 
 _TABLE = bytes(32 if chr(b).isspace() and b < 128 else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
 BITS = 18
-BLOCK = 1 << 20  # bytes of text that are handled together
+BLOCK = 1 << 18  # bytes of text that are handled together; n-grams take some 40 times as much
 FEW = 1024  # subwords up to which sorting them is faster than marking their buckets
 FEW_TEXTS = 64  # texts of a class below which chance gets 1.5 deviations and not 2, which hardly any bucket would pass
 PART = 1 << 14  # buckets whose counts travel together
@@ -69,19 +69,11 @@ class Model:
     scale: float
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, classes); long lists are scored in blocks of about 4 MB."""
-        out, block, size = [], [], 0
-        for t in texts:
-            block.append(t)
-            size += len(t)
-            if size > 4 << 20:
-                out.append(self._block(block))
-                block, size = [], 0
-        if block or not out:
-            out.append(self._block(block))
-        return np.concatenate(out)
-
-    def _block(self, texts: list[bytes]) -> np.ndarray:
+        """(texts, classes); long lists are scored in blocks."""
+        margins = [np.append(margin, np.float32(0)) for margin in self.margins]  # the row after the last weighs nothing
+        return np.concatenate([self._block(block, margins) for _, block in _blocks(texts)] or [self._block([], margins)])
+
+    def _block(self, texts: list[bytes], margins: list[np.ndarray]) -> np.ndarray:
         classes = len(self.margins) + 1
         logits = np.zeros((len(texts), classes))
         if texts:
@@ -90,11 +82,11 @@ class Model:
             number, total = np.zeros(len(texts)), np.zeros((len(texts), classes - 1))
             for bucket, valid in grams(data, self.sizes, self.bits):
                 at = np.minimum(starts, len(valid) - 1)
-                kept = np.where(valid, bucket, np.uint32(1 << self.bits))  # the row after the last weighs nothing
+                kept = np.where(valid, bucket, np.uint32(1 << self.bits))
                 held = starts < len(valid)
                 number += np.add.reduceat(valid, at, dtype=np.int64) * held
-                for k, margin in enumerate(self.margins):
-                    total[:, k] += np.add.reduceat(np.append(margin, np.float32(0))[kept], at, dtype=np.float64) * held
+                for k, margin in enumerate(margins):
+                    total[:, k] += np.add.reduceat(margin[kept], at, dtype=np.float64) * held
             logits[:, 1:] = self.scale * total / np.maximum(number, 1)[:, None] + self.bias
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
@@ -143,7 +135,7 @@ def occurrences(rows: DataFrame, classes: int, sizes: tuple[int, ...], bits: int
 
     def count(batches):
         held, number = np.zeros((classes, 1 << bits), np.int64), np.zeros(classes, np.int64)
-        for batch in batches:
+        for batch in common.lean(batches):
             labels = batch.column(0).to_pylist()
             for k, buckets in zip(labels, distinct(batch.column(1).to_pylist(), sizes, bits), strict=True):
                 held[k, buckets] += 1

@@ -30,7 +30,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> subword.Model:
     shared = docs.sparkSession.sparkContext.broadcast(groups)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.lean(batches):
             yield pa.record_batch([batch.column(0), pa.array(list(shared.value.shares(batch.column(1).to_pylist())), pa.list_(pa.float64()))], ["doc_id", "shares"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), common.text_bytes(docs).alias("text")).where("doc_id IS NOT NULL")
@@ -43,7 +43,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds))  # 2 ** 18 float32 whatever the input
 
     def run(batches):
-        for batch in batches:
+        for batch in common.lean(batches):
             p = model.value.probabilities(batch.column(2).to_pylist())[:, 1]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -57,7 +57,7 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: float = 0.5
     rows = docs.select(F.struct("*").alias("row"), common.text_bytes(docs).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in common.lean(batches):
             kept = model.value.probabilities(batch.column(1).to_pylist())[:, 1] < limit
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept))], names=["row"])
 

@@ -6,10 +6,12 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -534,3 +536,27 @@ def test_pipeline_stages(spark):
     texts = {r["doc_id"]: r["text"] for r in common.table(spark, sf, "documents").collect()}
     assert all(s % (len(library.encode(texts[d], add_special_tokens=False).ids) + 1) == 0 for d, s in sums.items())
     assert len(corpus_pipeline.STAGES) == 4 and corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_scoring_takes_little_memory(monkeypatch):
+    """Blocks bound what scoring holds, and give the same numbers."""
+    g = np.random.default_rng(3)
+    texts = [b"", *(bytes(g.integers(97, 123, 4000, np.uint8)).replace(b"e", b" ") for _ in range(1000))]
+    model = subword.Model(g.normal(size=(1, 1 << 18)).astype(np.float32), np.zeros(1), (4, 5, 6), 18, 256.0)
+    tracemalloc.start()
+    found = model.probabilities(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    monkeypatch.setattr(subword, "BLOCK", 1 << 30)
+    assert np.array_equal(found, model.probabilities(texts)) and model.probabilities([]).shape == (0, 2)
+
+
+def test_lean_tasks_start_without_encoders():
+    """Reused workers don't carry a tokenizer's caches into stages without one; no row is lost or moved."""
+    bpe.encoder(BYTE)
+    batches = [pa.record_batch([pa.array(range(n))], ["x"]) for n in (0, 3, 2500)]
+    rows = common.lean(batches)
+    first = next(rows)
+    assert bpe.encoder.cache_info().currsize == 0
+    assert [x for b in (first, *rows) for x in b.column(0).to_pylist()] == [*range(3), *range(2500)]
