@@ -39,9 +39,9 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    path = scratch(df.sparkSession, tag)
+def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors. path: a folder by `scratch`, for `remove`."""
+    path = path or scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,6 +57,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def remove(path: str) -> None:
+    """Removes a materialized table that nothing reads any more."""
+    system, inside = filesystem(path)
+    system.delete_dir(inside)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished queries, which it does when the driver collects its garbage; else they stay until it happens to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> Column:
     """The column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(df[column].cast("string"), F.lit("")).cast("binary")

@@ -2,9 +2,12 @@
 
 Words are known by their 64-bit hash. The vocabulary is the sorted array of the hashes of all training tokens, cut into ranges by
 the leading bits; a word's id is its place in it, so ids keep the order of the hashes. Trigrams are dealt to ranges by a hash of their
-context (u, v): a range file holds the sorted contexts as u << 32 | v, where the followers of each begin, the followers' ids in order and their counts. A second shuffle of the different (v, w) with the
-number of different u before them gives the middle order, a third one the numbers of v and w. Counts take one byte, and those of 255
-or more stand in a table of their own with 64 bits, so none wraps.
+context (u, v): a range file holds the sorted contexts with their numbers of followers, where the followers of every GROUP-th begin, the
+followers' ids in order and their counts. A second shuffle of the different (v, w) with the number of different u before them gives the
+middle order, a third one the numbers of v and w.
+
+Sorted pairs of ids are cut into runs of equal leading bits, and only the other bits of each are stored (`indexed`); a count stands in the bits
+that are left of its key's last byte (`fold`). Counts that don't fit stand in a table of their own with up to 64 bits, so none wraps.
 
 Tasks sort and sum what they have before it is shuffled. Ranges are as many as the tokens ask for (`RANGE` each), whatever the
 shuffle partitions; contexts are spread by a hash, and pairs of a word that holds over 1/256 of all tokens by a hash of both words, so a range holds
@@ -22,6 +25,7 @@ empty table, or one without training rows, gives scores from 1 / (V + 1); other
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,6 +49,8 @@ PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 U32, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 LONG_SLICE = 32  # followers from which a context's sums are stored
+RUN = 16  # keys a run of equal leading bits, on average at least
+GROUP = 8  # contexts for which the place of the first follower is stored once
 
 
 def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,6 +255,95 @@ def expanded(small: np.ndarray, places: np.ndarray, values: np.ndarray, at: np.n
     return out
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u4" if not len(x) or int(x.max()) < 1 << 32 else "<u8")
+
+
+def _layout(bits: int) -> tuple[int, int]:
+    """Bytes that a value of so many bits (62 at most) and its count take together, and the bits of them that the count has."""
+    width = (bits + 9) >> 3
+    return width, 8 * width - bits
+
+
+def fold(values: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values and counts (1 at least) together in few bytes, and the places and values of the counts that don't fit."""
+    width, spare = _layout(bits)
+    most = (1 << spare) - 1
+    over = np.flatnonzero(counts > most)
+    both = values.astype("<u8") << np.uint64(spare) | np.minimum(counts - 1, most).astype("<u8")
+    raw = np.append(both.view(np.uint8).reshape(-1, 8)[:, :width], np.zeros(8, np.uint8))  # as `_fetch` reads 8 bytes
+    return raw, _small(over), _small(counts[over])
+
+
+def _view(raw: np.ndarray, width: int) -> np.ndarray:
+    """Folded values, each in the low bytes of a number whose others are of the next; one more stands at the end."""
+    kind = np.dtype("<u4" if width <= 4 else "<u8")
+    return np.ndarray(((len(raw) - 8) // width + 1,), kind, raw, strides=(width,))
+
+
+def _fetch(raw: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    return _view(raw, width)[at].astype("<u8") & np.uint64((1 << 8 * width) - 1)
+
+
+def counts_at(raw: np.ndarray, places: np.ndarray, values: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
+    """The counts of folded values at some places."""
+    width, spare = _layout(bits)
+    most = (1 << spare) - 1
+    out = (_fetch(raw, width, at) & np.uint64(most)).astype(np.int64) + 1
+    large = np.flatnonzero(out > most)
+    if len(large):
+        out[large] = values[np.searchsorted(places, at[large].astype(places.dtype))]
+    return out
+
+
+def search(raw: np.ndarray, bits: int, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted values in ascending slices [lo, hi) of folded values, and which were found."""
+    width, spare = _layout(bits)
+    view, at = _view(raw, width), lo.copy()
+    aside = view.itemsize * 8 - 8 * width  # shifts the bytes of the next value out
+    open_ = np.flatnonzero((lo < hi) & (want >> np.uint64(bits) == 0))
+    want = want << np.uint64(spare)
+    lo_, hi_, want_ = lo[open_], hi[open_], (want[open_] << np.uint64(aside)).astype(view.dtype)
+    aside, left = view.dtype.type(aside), np.ones(len(open_), bool)
+    while len(open_):
+        mid = (lo_ + hi_) >> 1
+        less = (view[mid] << aside < want_) & left
+        lo_, hi_ = np.where(less, mid + 1, lo_), np.where(less, hi_, mid)
+        left = lo_ < hi_
+        if 2 * np.count_nonzero(left) <= len(left):
+            at[open_] = lo_
+            open_, lo_, hi_, want_ = open_[left], lo_[left], hi_[left], want_[left]
+            left = left[left]
+    found = np.flatnonzero(at < hi)
+    hit = np.zeros(len(at), bool)
+    hit[found] = (_fetch(raw, width, at[found]) ^ want[found]) >> np.uint64(spare) == 0
+    return at, hit
+
+
+def indexed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ascending different keys and their counts: the bits that are stored of each key, the leading bits of the runs, where these begin, folded rest and counts."""
+    change = keys[1:] ^ keys[:-1]
+    bits = bisect_left(range(62), True, key=lambda b: bool(np.count_nonzero(change >> np.uint64(b)) < len(keys) // RUN))
+    leading = keys >> np.uint64(bits)
+    begin = _begins(leading)
+    rest = keys & np.uint64((1 << bits) - 1)
+    return np.array([bits], "<u8"), _small(leading[begin]), _small(np.append(begin, len(keys))), *fold(rest, counts, bits)
+
+
+def look_up(index: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in an index, and which were found."""
+    bits, leading, begin, raw = int(index[0][0]), *index[1:4]
+    high = keys >> np.uint64(bits)
+    run = np.minimum(np.searchsorted(leading, high), len(leading) - 1)
+    lo = begin[run].astype(np.int64)
+    hi = np.where(leading[run] == high, begin[run + 1].astype(np.int64), lo)
+    return search(raw, bits, lo, hi, keys & np.uint64((1 << bits) - 1))
+
+
+def index_counts(index: tuple[np.ndarray, ...], at: np.ndarray) -> np.ndarray:
+    return counts_at(*index[3:6], int(index[0][0]), at)
+
+
 def _grouped(parts: DataFrame, buckets: int) -> DataFrame:
     n = min(buckets, 4 * common.partitions(parts.sparkSession))
     return parts.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket")
@@ -275,6 +370,14 @@ class Vocabulary:
     def __len__(self) -> int:
         return int(self.offsets[-1])
 
+    @property
+    def id_bits(self) -> int:
+        return len(self).bit_length()  # the start mark is V
+
+    def narrow(self, pairs: np.ndarray) -> np.ndarray:
+        """Pairs of known ids (first << 32 | second) without the bits that no id has; they keep their order."""
+        return pairs >> U32 << np.uint64(self.id_bits) | pairs & LOW
+
     def find(self, hashes_: np.ndarray) -> np.ndarray:
         """Ids of ascending hashes; V + 1 for unknown ones."""
         out = np.full(len(hashes_), len(self) + 1, np.int64)
@@ -311,6 +414,7 @@ def count_words(training: DataFrame, folder: str, bits: int) -> Vocabulary:
 
     parts = training.mapInArrow(scan, "bucket int, part binary")
     made = common.materialize(_grouped(parts, 1 << bits).mapInArrow(merge, "bucket int, n long, total long, file string, often array<long>"), "vocabulary").collect()  # a row a range
+    common.drop_shuffles(training.sparkSession)
     sizes, files = np.zeros(1 << bits, np.int64), [None] * (1 << bits)
     for r in made:
         sizes[r["bucket"]], files[r["bucket"]] = r["n"], r["file"]
@@ -354,8 +458,8 @@ def pair_range(v: np.ndarray, w: np.ndarray, vocabulary: Vocabulary, bits: int)
 class Model:
     vocabulary: Vocabulary
     bits: int
-    contexts: tuple[str | None, ...]  # by range: contexts, first, words, counts, sums of long slices
-    pairs: tuple[str | None, ...]  # by pair range: v << 32 | w, counts
+    contexts: tuple[str | None, ...]  # by range: index of contexts and numbers of followers, first of each group, folded words and counts, sums of long slices
+    pairs: tuple[str | None, ...]  # by pair range: index of (v, w) and counts
     words: tuple[tuple[str | None, ...], ...]  # by range of the word: total, once, twice, more (as a context), before
     different: int  # number of different pairs
     d: tuple[np.ndarray, np.ndarray, np.ndarray]  # of words, pairs, trigrams
@@ -394,29 +498,28 @@ class Model:
         known, place = known[order], place[order]
         for p, a, b in _runs(place):
             if self.pairs[p]:
-                have, *stored = mapped(self.pairs[p])
-                want = keys[known[a:b]]
-                at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-                hit = have[at] == want
-                counts[known[a:b][hit]] = expanded(*stored, at[hit])
+                index = mapped(self.pairs[p])
+                at, hit = look_up(index, self.vocabulary.narrow(keys[known[a:b]]))
+                counts[known[a:b][hit]] = index_counts(index, at[hit])
         different, own = np.unique(v, return_inverse=True)
         sums = self._dense(different, [0, 1, 2, 3])[own]
         return _shares(counts, sums[:, 0], sums[:, 1:], self.d[1], self.unigram(w))[back]
 
     def _range(self, p: int, ctx: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
         """Fills out (count, total, once, twice, more) of the trigrams of one range; ctx ascending."""
-        contexts, first, followers, small, places, values, long_at, *long_sums = mapped(self.contexts[p])
+        stored = mapped(self.contexts[p])
+        index, (first, followers, places, values, long_at), long_sums = stored[:6], stored[6:11], stored[11:]
+        id_bits = self.vocabulary.id_bits
         different, own = np.unique(ctx, return_inverse=True)
-        at = np.minimum(np.searchsorted(contexts, different), len(contexts) - 1)
-        known = contexts[at] == different
-        lo, hi = first[at].astype(np.int64), first[at + 1].astype(np.int64)
-        hi = np.where(known, hi, lo)
+        at, known = look_up(index, self.vocabulary.narrow(different))
+        lo, hi = np.zeros((2, len(different)), np.int64)
+        lo[known], hi[known] = _slices(index, first, at[known])
         sums = np.zeros((len(different), 4))
         short = np.flatnonzero(known & (hi - lo < LONG_SLICE))
         if len(short):
             length = hi[short] - lo[short]
             ends = np.cumsum(length)
-            counts = expanded(small, places, values, np.arange(ends[-1]) + np.repeat(lo[short] - ends + length, length))
+            counts = counts_at(followers, places, values, id_bits, np.arange(ends[-1]) + np.repeat(lo[short] - ends + length, length))
             begin = ends - length
             sums[short] = np.stack([np.add.reduceat(x, begin) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
         long = np.flatnonzero(known & (hi - lo >= LONG_SLICE))
@@ -424,17 +527,9 @@ class Model:
             where = np.searchsorted(long_at, at[long].astype(np.uint64))
             sums[long] = np.stack([x[where] for x in long_sums], 1)
         out[:, 1:] = sums[own]
-        a, b = lo[own], hi[own]
-        end, open_ = b.copy(), np.flatnonzero(a < b)
-        while len(open_):  # binary search of each w in its own slice
-            lo_, hi_ = a[open_], b[open_]
-            mid = (lo_ + hi_) >> 1
-            less = followers[mid] < w[open_]
-            a[open_] = lo_ = np.where(less, mid + 1, lo_)
-            b[open_] = hi_ = np.where(less, hi_, mid)
-            open_ = open_[lo_ < hi_]
-        hit = np.flatnonzero((a < end) & (followers[np.minimum(a, len(followers) - 1)] == w))
-        out[hit, 0] = expanded(small, places, values, a[hit])
+        place, found = search(followers, id_bits, lo[own], hi[own], w.astype(np.uint64))
+        hit = np.flatnonzero(found)
+        out[hit, 0] = counts_at(followers, places, values, id_bits, place[hit])
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 p of each token of texts after the two before it."""
@@ -456,6 +551,15 @@ class Model:
         return np.log10(_shares(found[:, 0], found[:, 1], found[:, 2:], self.d[2], below))
 
 
+def _slices(index: tuple[np.ndarray, ...], first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the followers of contexts begin and end: the first of the group, and the numbers of those between."""
+    near = (at // GROUP * GROUP)[:, None] + np.arange(GROUP)
+    last = int(index[2][-1]) - 1
+    n = index_counts(index, np.minimum(near, last).reshape(-1)).reshape(near.shape)
+    begin = first[at // GROUP].astype(np.int64) + (n * (near < at[:, None])).sum(1)
+    return begin, begin + n[np.arange(len(at)), at % GROUP]
+
+
 def _previous(ids: np.ndarray, starts: np.ndarray, mark: int) -> np.ndarray:
     out = np.concatenate(([mark], ids[:-1]))
     out[starts] = mark
@@ -504,7 +608,7 @@ def count_ngrams(training: DataFrame, v: Vocabulary, folder: str, bits: int) ->
             followers = np.diff(np.append(begin, len(ctx)))
             long = np.flatnonzero(followers >= LONG_SLICE)
             sums = [np.add.reduceat(x.astype(np.int64), begin)[long].astype("<u8") for x in (counts, counts == 1, counts == 2, counts > 2)]
-            file = save(folder, "trigrams", ctx[begin], np.append(begin, len(ctx)).astype("<u4"), words, *compact(counts), long.astype("<u8"), *sums)
+            file = save(folder, "trigrams", *indexed(v.narrow(ctx[begin]), followers), _small(begin[::GROUP]), *fold(words, counts, v.id_bits), long.astype("<u8"), *sums)
             middle = (ctx & LOW).astype(np.int64)
             keys, n = merged(middle.astype(np.uint64) << U32 | words.astype(np.uint64), np.where(middle == size, counts, 1))
             place = pair_range((keys >> U32).astype(np.int64), (keys & LOW).astype(np.int64), v, bits)
@@ -514,7 +618,7 @@ def count_ngrams(training: DataFrame, v: Vocabulary, folder: str, bits: int) ->
     def merge_pairs(batches):
         by_word = v.offsets[1:-1].astype(np.uint64)
         for b, (keys, n) in ranges(batches):
-            file = save(folder, "pairs", keys, *compact(n))
+            file = save(folder, "pairs", *indexed(v.narrow(keys), n))
             rows = [("range", b, None, len(keys), _of_counts(n), file)]
             first = keys >> U32
             for kind, (key, number) in enumerate(((first, n), (first, n == 1), (first, n == 2), (first, n > 2), (keys & LOW, np.ones(len(n))))):
@@ -529,9 +633,15 @@ def count_ngrams(training: DataFrame, v: Vocabulary, folder: str, bits: int) ->
             dense[words.astype(np.int64) - int(v.offsets[place])] = n
             yield _batch([("range", b, None, int((n > 2).sum()), _of_counts(n), save(folder, "dense", *compact(dense)))])
 
-    def merge(parts: DataFrame, run, n: int, tag: str) -> tuple[DataFrame, list]:
-        found = common.materialize(_grouped(parts, n).mapInArrow(run, MERGED), tag)
-        return found.where("kind = 'part'").select("bucket", "part"), found.where("kind = 'range'").select("bucket", "n", "of_counts", "file").collect()  # a row a range
+    def merge(parts: DataFrame, run, n: int, tag: str, read: str | None = None) -> tuple[DataFrame, list, str]:
+        """The parts for the next order, what was saved, and the folder of both; read: the folder that `parts` come from, which goes when they are merged."""
+        path = common.scratch(training.sparkSession, tag)
+        found = common.materialize(_grouped(parts, n).mapInArrow(run, MERGED), tag, path)
+        saved = found.where("kind = 'range'").select("bucket", "n", "of_counts", "file").collect()  # a row a range
+        if read:
+            common.remove(read)
+        common.drop_shuffles(training.sparkSession)
+        return found.where("kind = 'part'").select("bucket", "part"), saved, path
 
     def by_bucket(rows: list, n: int) -> list:
         out = [None] * n
@@ -540,9 +650,9 @@ def count_ngrams(training: DataFrame, v: Vocabulary, folder: str, bits: int) ->
         return out
 
     add = lambda rows: np.sum([r["of_counts"] for r in rows], axis=0) if rows else np.zeros(4)
-    parts, trigrams = merge(training.mapInArrow(scan, "bucket int, part binary"), merge_trigrams, buckets, "trigrams")
-    parts, pairs = merge(parts, merge_pairs, buckets, "pairs")
-    _, dense = merge(parts, merge_words, 5 * word_ranges, "words")
+    parts, trigrams, read = merge(training.mapInArrow(scan, "bucket int, part binary"), merge_trigrams, buckets, "trigrams")
+    parts, pairs, read = merge(parts, merge_pairs, buckets, "pairs", read)
+    _, dense, _ = merge(parts, merge_words, 5 * word_ranges, "words", read)
     before = [r for r in dense if r["bucket"] >= 4 * word_ranges]
     different = sum(r["n"] for r in pairs)
     d1 = discounts(add(before))

@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import struct
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +251,39 @@ def test_ngram_ids_and_counts():
     assert all((x == y).all() for x, y in zip(ngram_lm.unpack(ngram_lm.pack(keys, second, n), 2), (keys, second, n), strict=True))
 
 
+def test_ngram_index():
+    g = np.random.default_rng(3)
+    for keys in (g.integers(0, 1 << 44, 5000), np.concatenate((g.integers(0, 9, 3000) << 40, np.arange(1 << 20, (1 << 20) + 4000))), np.array([7]), np.array([0, (1 << 64) - 1], np.uint64)):
+        keys = np.unique(keys.astype(np.uint64))
+        counts = np.minimum(g.zipf(1.4, len(keys)), 1 << 40)
+        counts[-1] = (1 << 40) + 7
+        index = ngram_lm.indexed(keys, counts)
+        asked = np.concatenate((keys, keys + np.uint64(1), g.integers(0, 1 << 63, 50, np.uint64)))
+        at, hit = ngram_lm.look_up(index, asked)
+        assert (hit == np.isin(asked, keys)).all() and (keys[at[hit]] == asked[hit]).all()
+        assert (ngram_lm.index_counts(index, at[hit]) == counts[at[hit]]).all()
+    for bits in (1, 7, 16, 22, 24, 32, 62):
+        values, n = g.integers(0, 1 << bits, 400, np.uint64), np.append(g.integers(1, 1 << 11, 399), 1 << 40)
+        raw, places, large = ngram_lm.fold(values, n, bits)
+        assert (ngram_lm.counts_at(raw, places, large, bits, np.arange(400)) == n).all()
+
+
+def test_ngram_model_takes_little_disk(spark):
+    """The files of orders 2 and 3 against 8 bytes a key, 4 a begin, 4 a follower and one a count; of the tables between orders only the last stays."""
+    g = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in np.minimum(g.zipf(1.3, 300), 30000)) for _ in range(200)]
+    shared = Path(common.filesystem(common.shared_dir(spark))[1])
+    tables = lambda: {*shared.glob("llm-trigrams-*"), *shared.glob("llm-pairs-*")}
+    already = tables()
+    model = ngram_lm.fit(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"), "lmsize")
+    tokens = [["<s>", "<s>", *t.split(), ""] for t in texts]
+    grams = {x for t in tokens for x in zip(t, t[1:], t[2:], strict=False)}
+    plain = 12 * len({x[:2] for x in grams}) + 5 * len(grams) + 9 * len({x[1:] for x in grams})
+    files = [common.filesystem(f)[1] for f in (*model.contexts, *model.pairs) if f]
+    assert sum(os.path.getsize(f) for f in files) < 0.7 * plain
+    assert tables() == already
+
+
 def vectors(spark, n=400):
     g = np.random.default_rng(2)
     base = g.normal(size=(n // 8, 24))
